@@ -61,6 +61,14 @@ class _Powers:
 _powers = _Powers()
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hash of data[start:end] for every span; lower: ASCII capitals count as small."""
+    up, down = _powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum((_CODES_LOWER if lower else _CODES)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def separators(keep: str) -> np.ndarray:
     """Boolean table over bytes: True where a byte separates words.
 
@@ -100,10 +108,7 @@ class Slab:
         ends[:-1] &= ~word[1:] | row_start[1:]
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
-        up, down = _powers.upto(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((_CODES_LOWER if lower else _CODES)[data] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        self.hash = span_hash(data, self.start, self.end, lower)
         self.word_lo = np.searchsorted(self.start, self.offsets)
 
     @property

@@ -11,6 +11,7 @@ from palimpsest.llm.minhash import duplicate_report
 from palimpsest.llm.pieces import encoded
 from palimpsest.llm.quality import SQL as QUALITY_SQL
 from palimpsest.llm.quality import quality_report
+from palimpsest.llm.suffixes import repeated_passages
 from palimpsest.llm.token_count import count_tokens
 from palimpsest.llm.token_store import read_store, write_store
 from palimpsest.llm.warc import round_trip
@@ -58,6 +59,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir, "source"), host_limit=0.8)
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir), span=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.main_text import main_text
 from palimpsest.llm.minhash import duplicate_report
 from palimpsest.llm.pieces import encoded
 from palimpsest.llm.quality import SQL as QUALITY_SQL
@@ -59,6 +60,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_documents(spark, sf_dir, "source"), host_limit=0.8)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir), span=50)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
     "op10_suffixes": op10_suffixes,
 }
 

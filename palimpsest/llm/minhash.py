@@ -252,8 +252,8 @@ def duplicate_report(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFram
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near copies: that of smallest doc_id."""
     folder = shared_dir(docs.sparkSession)
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
-    groups = near_duplicates(rows.select(F.col("_row").alias("row"), "doc_id", "text"), k, percent, folder)
-    gone = groups.filter("row != component_row").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    rows = saved(docs.withColumn("_pq_row", F.monotonically_increasing_id()), folder, "rows")
+    groups = near_duplicates(rows.select(F.col("_pq_row").alias("row"), "doc_id", "text"), k, percent, folder)
+    gone = groups.filter("row != component_row").select(F.col("row").alias("_pq_row"))
+    return rows.join(gone, "_pq_row", "left_anti").drop("_pq_row")
 

@@ -25,7 +25,7 @@ WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, LINE_PERCENT = 10, 20, 50, 50
 STRONGEST = 1e6
 RULES = ("short", "repeats", "symbols", "lines")
-Q = "_quality"
+Q = "_pq_quality"
 
 
 def _long(c: Column) -> Column:
@@ -33,36 +33,36 @@ def _long(c: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with a struct column _quality of counts and rule failures."""
+    """docs with a struct column of counts and rule failures."""
     text = as_text()
-    df = docs.withColumn("_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    n = F.size("_w")
-    grams = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(WINDOW)]))
-    df = df.withColumn("_g", F.when(n > WINDOW, grams))
+    df = docs.withColumn("_pq_w", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    n = F.size("_pq_w")
+    grams = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("_pq_w", i + j) for j in range(WINDOW)]))
+    df = df.withColumn("_pq_g", F.when(n > WINDOW, grams))
     # Only texts with a repeated window pay for the sort that finds where the repeats stand.
-    places = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), places))
-    same = lambda x, i: F.coalesce(F.get("_s", i)["h"] == x["h"], F.lit(False))
-    at = F.transform("_s", lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"]))
-    df = df.withColumn("_p", F.sort_array(F.filter(at, lambda i: i.isNotNull())))
+    places = F.sort_array(F.transform("_pq_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_pq_s", F.when(F.size(F.array_distinct("_pq_g")) < F.size("_pq_g"), places))
+    same = lambda x, i: F.coalesce(F.get("_pq_s", i)["h"] == x["h"], F.lit(False))
+    at = F.transform("_pq_s", lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"]))
+    df = df.withColumn("_pq_p", F.sort_array(F.filter(at, lambda i: i.isNotNull())))
     covered = F.aggregate(
-        "_p",
+        "_pq_p",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end")),
     )["n"]
-    df = df.withColumn("_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
-    n_lines = F.size("_l")
+    df = df.withColumn("_pq_l", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)))
+    n_lines = F.size("_pq_l")
     df = df.withColumn(
         Q,
         F.struct(
             _long(n).alias("n_words"),
-            _long(F.length(F.array_join("_w", ""))).alias("word_chars"),
+            _long(F.length(F.array_join("_pq_w", ""))).alias("word_chars"),
             _long(F.regexp_count(text, F.lit(SYMBOLS))).alias("n_symbols"),
-            _long(n_lines - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
+            _long(n_lines - F.size(F.array_distinct("_pq_l"))).alias("n_dup_lines"),
             _long(F.coalesce(covered, F.lit(0))).alias("n_repeat_words"),
             _long(n_lines).alias("n_lines"),
         ),
-    ).drop("_w", "_g", "_s", "_p", "_l")
+    ).drop("_pq_w", "_pq_g", "_pq_s", "_pq_p", "_pq_l")
     q = F.col(Q)
     fails = {
         "short": q["n_words"] < LEAST_WORDS,
@@ -95,25 +95,25 @@ def host_verdicts(judged: DataFrame, host_limit: float) -> DataFrame:
 
 
 def _judged(docs: DataFrame, columns: list[str], host_limit: float) -> DataFrame:
-    """columns of docs with _quality, _base_failed and _kept.  Measures once: what two
+    """columns of docs with the counts and both verdicts.  Measures once: what two
     later steps need is written, then read back."""
     judged = saved(measured(docs).select(*columns, Q), shared_dir(docs.sparkSession), "judged")
-    hosts = host_verdicts(judged, host_limit).select(F.col("host").alias("_host"), F.col("rejected").alias("_rejected"))
-    out = judged.withColumn("_base_failed", F.col(f"{Q}.short") | F.col(f"{Q}.repeats"))
-    out = out.join(hosts, host_of() == F.col("_host"), "left")
-    return out.withColumn("_kept", ~F.col("_base_failed") & ~F.coalesce("_rejected", F.lit(False)))
+    hosts = host_verdicts(judged, host_limit).select(F.col("host").alias("_pq_host"), F.col("rejected").alias("_pq_rejected"))
+    out = judged.withColumn("_pq_base_failed", F.col(f"{Q}.short") | F.col(f"{Q}.repeats"))
+    out = out.join(hosts, host_of() == F.col("_pq_host"), "left")
+    return out.withColumn("_pq_kept", ~F.col("_pq_base_failed") & ~F.coalesce("_pq_rejected", F.lit(False)))
 
 
 def quality_report(docs: DataFrame, host_limit: float = 0.8) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     judged = _judged(docs, ["doc_id", "source"], host_limit)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return judged.select("doc_id", *(F.col(f"{Q}.{c}").alias(c) for c in counts), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged.select("doc_id", *(F.col(f"{Q}.{c}").alias(c) for c in counts), F.col("_pq_base_failed").alias("base_failed"), F.col("_pq_kept").alias("kept"))
 
 
 def only_kept(docs: DataFrame, host_limit: float = 0.8) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    return _judged(docs, docs.columns, host_limit).filter("_kept").select(*docs.columns)
+    return _judged(docs, docs.columns, host_limit).filter("_pq_kept").select(*docs.columns)
 
 
 #: The same in DuckDB SQL, for documents with distinct ids.

@@ -10,6 +10,7 @@ from palimpsest.llm.common import shared_dir, table
 from palimpsest.llm.main_text import main_text
 from palimpsest.llm.minhash import duplicate_report
 from palimpsest.llm.pieces import encoded
+from palimpsest.llm.pii import personal_data
 from palimpsest.llm.quality import SQL as QUALITY_SQL
 from palimpsest.llm.quality import quality_report
 from palimpsest.llm.suffixes import repeated_passages
@@ -51,6 +52,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(_documents(spark, sf_dir), k=4, percent=80)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_documents(spark, sf_dir))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), shared_dir(spark), least_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,16 +73,24 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir), span=50)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_store": op3_token_store,
     "op4_winnowing": op4_winnowing,
     "op5_minhash": op5_minhash,
+    "op6_personal_data": op6_personal_data,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_main_text": op9_main_text,
     "op10_suffixes": op10_suffixes,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -183,9 +183,9 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, sh
     size = items.agg(F.coalesce(F.sum(F.octet_length(as_text())), F.lit(0))).first()[0]
     if size > max_item_bytes:
         folder = shared_dir(docs.sparkSession)
-        docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
-        bad = decontaminate(docs.select(F.col("_row").alias("doc_id"), "text"), items, window, share, max_item_bytes).filter("contaminated")
-        return docs.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+        docs = saved(docs.withColumn("_pq_row", F.monotonically_increasing_id()), folder, "rows")
+        bad = decontaminate(docs.select(F.col("_pq_row").alias("doc_id"), "text"), items, window, share, max_item_bytes).filter("contaminated")
+        return docs.join(bad.select(F.col("doc_id").alias("_pq_row")), "_pq_row", "left_anti").drop("_pq_row")
     got = items.select(F.col("item_id").cast("string").alias("item_id"), as_text().alias("text")).toArrow()
     packed = docs.sparkSession.sparkContext.broadcast(Items.pack(got["item_id"].to_pylist(), got["text"].to_pylist(), window))
 

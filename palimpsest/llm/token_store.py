@@ -40,7 +40,7 @@ ROLL, LEAST, MOST, BITS = 8, 64, 4096, 9
 DIGEST = 16
 SPOOL = "row long, doc_id long, n_tokens long, digests binary, root binary, chunks array<struct<digest:binary,pack:string,at:long,size:int>>"
 #: White space beyond ASCII, and controls on which tools differ: texts with these are encoded whole.
-ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def filesystem(folder: str):

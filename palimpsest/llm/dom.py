@@ -97,12 +97,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag not in INLINE:
             closing = CLOSES.get(tag, frozenset())
+            outermost = 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in closing or stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in HOLDS and stack[i][0] not in closing and not (closing & {"td", "th", "tr"} and stack[i][0] in ("td", "th")):
+                    outermost = i
+                elif stack[i][0] in HOLDS:
                     break
+            if outermost:
+                close(outermost)
             flush()
             described = " ".join(f"{k}={(v or '').strip(chr(34) + chr(39))}" for k, v in _NAMES.findall(names)).lower() if names and not names.isspace() else ""
             nodes.append(Node(tag, described, stack[-1][1]))

@@ -199,7 +199,7 @@ def _region_links(percent: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, folder: str | None = None) -> DataFrame:
     """Per row of docs: row, doc_id, n_shingles, component_row, component_id.
 
-    docs: row (long, unique), doc_id, text.  component_row: the row that leads the group,
+    docs: row (long, unique, the same at every reading), doc_id, text.  component_row: the row that leads the group,
     of smallest doc_id; a row without shingles leads itself.
     """
     folder = folder or shared_dir(docs.sparkSession)
@@ -243,8 +243,9 @@ def _confirmed(docs: DataFrame, regions: DataFrame, k: int, percent: int, folder
 
 def duplicate_report(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    out = near_duplicates(rows, k, percent)
+    folder = shared_dir(docs.sparkSession)
+    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), folder, "rows")  # numbers that no later step draws anew
+    out = near_duplicates(rows, k, percent, folder)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("row") == F.col("component_row"))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 

@@ -151,6 +151,7 @@ def repeated_passages(docs: DataFrame, span: int = 50) -> DataFrame:
         raise ValueError(f"span must be at least {SPREAD + GRAM - 1}")
     folder = shared_dir(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
+    docs = saved(docs, folder, "rows")  # numbers that no later step draws anew
     sparse = saved(docs.select("row", "text").mapInArrow(_suffixes(span), "key long, row long, pos int"), folder, "suffixes")
     ordered = sparse.repartitionByRange("key", "row").sortWithinPartitions("key", "row", "pos")
     near = saved(ordered.mapInArrow(neighbours, "key long, row long, pos int, edge boolean"), folder, "near")

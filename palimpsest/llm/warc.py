@@ -11,8 +11,8 @@ and owns the records that start inside the range; the last may end beyond it.  A
 owned record the next one starts where it ended, and after damage the scan goes on.
 
 Defined results: a null html is an empty payload; a null page_id is kept, and never the
-response of a group with other ids; of repeated rows with one id, equal payloads and no
-smaller id, one is the response; other columns are ignored.
+response of a group with other ids; repeated rows with the id and the payload of a
+response are responses too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,13 +91,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     Only payloads that occur more than once take part in the join that finds their
     response; which side is broadcast, or split for a hot payload, is left to Spark.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), as_text("html").alias("html"), F.monotonically_increasing_id().alias("row"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), as_text("html").alias("html"))
     pages = pages.withColumn("sha_hex", F.sha1("html"))
-    lead = F.min(F.struct(F.col("page_id").isNull().alias("n"), "page_id", "row"))
-    again = pages.filter(F.octet_length("html") >= least_bytes).groupBy("sha_hex").agg(lead.alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    again = again.select("sha_hex", F.col("lead.page_id").alias("lead_id"), F.col("lead.row").alias("lead_row"))
-    marked = pages.join(again, "sha_hex", "left")
-    marked = marked.withColumn("is_revisit", F.coalesce((F.octet_length("html") >= least_bytes) & (F.col("lead_row") != F.col("row")), F.lit(False)))
+    again = pages.filter(F.octet_length("html") >= least_bytes).groupBy("sha_hex").agg(F.min("page_id").alias("lead_id"), F.count("*").alias("n")).filter("n > 1")
+    marked = pages.join(again.select("sha_hex", "lead_id", F.lit(True).alias("again")), "sha_hex", "left")
+    marked = marked.withColumn("is_revisit", F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("lead_id")))
     marked = marked.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.when(F.col("is_revisit"), F.col("lead_id")).alias("refers_to"), "is_revisit", _base32("sha_hex").alias("sha"))
     path = f"{folder}/written"
     marked.mapInArrow(_write(folder), FILES).write.parquet(path)

@@ -15,8 +15,9 @@ from palimpsest.operators.market import calendar
 QUANTILES, HOLD_MONTHS, MIN_NAMES, COST_BPS = 5, 12, 50, 10.0
 
 
-def live_signal(signals: DataFrame, returns: DataFrame, hold: int = HOLD_MONTHS) -> DataFrame:
-    """(signal, pos, ticker, value): the newest filing's value, live for `hold` positions.
+def live_signal(signals: DataFrame, returns: DataFrame, hold: int | None = HOLD_MONTHS) -> DataFrame:
+    """(signal, pos, ticker, value): the newest filing's value, live for `hold` positions, or
+    for those of the column hold where hold is None.
 
     A filing goes live at the first month of the calendar on or after its formation month
     (filings older than the calendar at its first), and an older one ends where a newer
@@ -28,7 +29,7 @@ def live_signal(signals: DataFrame, returns: DataFrame, hold: int = HOLD_MONTHS)
     rows = rows.withColumn("formed", formation_month_end(F.col("filing_date"))).join(F.broadcast(all_months))
     start = F.size(F.filter("months", lambda m: m < F.col("formed")))
     rows = rows.withColumn("start", start).filter(F.col("start") < F.size("months"))
-    last = F.least(F.col("start") + hold, F.size("months")) - 1
+    last = F.least(F.col("start") + (F.col("hold") if hold is None else F.lit(hold)), F.size("months")) - 1
     live = rows.select("signal", "ticker", "value", "filing_date", "accession", F.explode(F.sequence("start", last)).alias("pos"))
     newest = F.max_by("value", F.struct("filing_date", "accession"))
     return live.groupBy("signal", F.col("pos").cast("long").alias("pos"), "ticker").agg(newest.alias("value"))
@@ -51,15 +52,16 @@ def _members(quantiled: DataFrame, returns: DataFrame) -> DataFrame:
     return quantiled.join(earned, ["ticker", "pos"])
 
 
-def quantile_returns(quantiled: DataFrame, returns: DataFrame) -> DataFrame:
+def quantile_returns(quantiled: DataFrame, returns: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Long: (signal, pos, date, q, ret, names) - mean return earned in `date` by the portfolio
     formed the month before."""
     months = calendar(returns).select("date", (F.col("pos") - 1).alias("pos"))
-    out = _members(quantiled, returns).groupBy("signal", "pos", "q").agg(F.avg("ret").alias("ret"), F.count("*").alias("names"))
+    members = members or _members(quantiled, returns)
+    out = members.groupBy("signal", "pos", "q").agg(F.avg("ret").alias("ret"), F.count("*").alias("names"))
     return out.join(F.broadcast(months), "pos").select("signal", "pos", "date", "q", "ret", "names")
 
 
-def turnover(quantiled: DataFrame, returns: DataFrame) -> DataFrame:
+def turnover(quantiled: DataFrame, returns: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(signal, pos, leg, turnover): weight traded by the lowest (short) and highest (long)
     quantile when the portfolio of pos is formed.
 
@@ -68,7 +70,7 @@ def turnover(quantiled: DataFrame, returns: DataFrame) -> DataFrame:
     """
     top = quantiled.groupBy("signal").agg(F.max("q").alias("top"))
     legs = F.explode(F.filter(F.array(F.when(F.col("q") == 1, F.lit("short")), F.when(F.col("q") == F.col("top"), F.lit("long"))), lambda x: x.isNotNull()))
-    held = _members(quantiled, returns).join(top, "signal").withColumn("leg", legs)
+    held = (members or _members(quantiled, returns)).join(F.broadcast(top), "signal").withColumn("leg", legs)  # a row a signal
     size = F.count("*").over(Window.partitionBy("signal", "pos", "leg"))
     held = held.withColumn("w", 1 / size)
     grown = held.withColumn("grown", F.col("w") * (1 + F.col("ret")))  # the return earned is that of the next formation month
@@ -92,9 +94,10 @@ def portfolio_returns(quantiled: DataFrame, returns: DataFrame, cost_bps: float
     """
     months = calendar(returns).select("date", (F.col("pos") - 1).alias("pos"))
     formed = quantiled.groupBy("signal", "pos").agg(F.max("n_names").alias("n_names")).join(F.broadcast(months), "pos")
-    wide = quantile_returns(quantiled, returns).groupBy("signal", "pos").pivot("q", list(range(1, n + 1))).agg(F.max("ret"))
+    members = _members(quantiled, returns).persist()  # a row a name and month
+    wide = quantile_returns(quantiled, returns, members).groupBy("signal", "pos").pivot("q", list(range(1, n + 1))).agg(F.max("ret"))
     wide = wide.select("signal", "pos", *[F.col(f"`{q}`").alias(f"Q{q}") for q in range(1, n + 1)])
-    legs = turnover(quantiled, returns).groupBy("signal", "pos").pivot("leg", ["short", "long"]).agg(F.max("turnover"))
+    legs = turnover(quantiled, returns, members).groupBy("signal", "pos").pivot("leg", ["short", "long"]).agg(F.max("turnover"))
     top = quantiled.groupBy("signal").agg(F.max("q").cast("int").alias("top"))
     out = formed.join(wide, ["signal", "pos"], "left").join(legs, ["signal", "pos"]).join(F.broadcast(top), "signal")  # a row a signal
     high = F.element_at(F.array(*[f"Q{q}" for q in range(1, n + 1)]), F.col("top"))
@@ -102,7 +105,7 @@ def portfolio_returns(quantiled: DataFrame, returns: DataFrame, cost_bps: float
     return out.select("signal", "date", "n_names", *[f"Q{q}" for q in range(1, n + 1)], F.col("short").alias("turnover_short"), F.col("long").alias("turnover_long"), "LS", "LS_net")
 
 
-def run_sort(signals: DataFrame, returns: DataFrame, hold: int = HOLD_MONTHS, cost_bps: float = COST_BPS, min_names: int = MIN_NAMES) -> DataFrame:
+def run_sort(signals: DataFrame, returns: DataFrame, hold: int | None = HOLD_MONTHS, cost_bps: float = COST_BPS, min_names: int = MIN_NAMES) -> DataFrame:
     """Signals to portfolio returns."""
     quantiled = quantiles(live_signal(signals, returns, hold), min_names=min_names).persist()  # read by every branch below; a row a name and month
     return portfolio_returns(quantiled, returns, cost_bps)

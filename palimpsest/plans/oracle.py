@@ -187,7 +187,7 @@ BODIES: dict[str, str] = {
     "consecutive_pairs_orders": "SELECT cik, filing_date, prev AS prev_filing_date FROM (SELECT *, lag(filing_date) OVER (PARTITION BY cik ORDER BY filing_date) AS prev FROM (SELECT DISTINCT o_custkey AS cik, CAST(o_orderdate AS DATE) AS filing_date FROM orders)) WHERE date_diff('day', prev, filing_date) BETWEEN 300 AND 430",
     "similarity_panel_wide": f"SELECT cik, ticker, accession, prev_accession, filing_date, report_date, prev_filing_date, {', '.join(f'{s}_words, {s}_prev_words' for s in ('full', 'item1a', 'item7'))}, {_r([f'{s}_{m}' for s in ('full', 'item1a', 'item7') for m in ('cosine', 'jaccard')])} FROM panel",
     "similarity_trend_median": f"SELECT year(filing_date) AS year, {', '.join(f'round(median({s}_cosine), 6) AS {s}_cosine' for s in ('full', 'item1a', 'item7'))} FROM panel GROUP BY 1",
-    "qa_gates": "SELECT * FROM qa",
+    "qa_gates": "SELECT * REPLACE (coalesce(n_words_full, -1) AS n_words_full, coalesce(n_words_item1a, -1) AS n_words_item1a, coalesce(n_words_item7, -1) AS n_words_item7) FROM qa",
     "qa_summary_by_year": "SELECT year(filing_date) AS year, count(*) AS filings, CAST(sum(CAST(error <> '' AS INTEGER)) AS BIGINT) AS parse_errors, round(avg(CAST(full_ok AS INTEGER)), 6) AS full_ok, round(avg(CAST(item1a_ok AS INTEGER)), 6) AS item1a_ok, round(avg(CAST(item7_ok AS INTEGER)), 6) AS item7_ok, median(n_words_full) AS median_words FROM qa JOIN filings USING (accession) GROUP BY 1",
     "passage_best_match": f"SELECT firm, edition, passage_no, words, {_r(['match_score'])} FROM best",
     "semantic_scores": "SELECT firm, edition, round(sum(match_score * words) / sum(words), 6) AS semantic, round(sum(CASE WHEN match_score < 0.6 THEN words ELSE 0 END) / sum(words), 6) AS novel_share FROM best GROUP BY ALL",

@@ -148,7 +148,7 @@ def similarity_trend_median(v: Views) -> DataFrame:
 
 @query
 def qa_gates(v: Views) -> DataFrame:
-    return _qa(v).drop("parser_version")
+    return _qa(v).drop("parser_version").fillna(-1)  # no count where parsing failed
 
 
 @query

@@ -109,21 +109,24 @@ def _has_odd_space(text: str) -> bool:
 def _encoded_slabs(tok, column: pa.Array, cache: UnitCache, kind: np.dtype, end_id: int) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, packed ids of each row with the end id).
 
-    Units start where ASCII white space follows another character.  No alternative of the
-    pre-tokeniser's pattern matches across that place, unless the character before it is
-    itself white space that ASCII lacks; such texts are encoded whole.
+    Units start where ASCII white space follows another character, and where an ASCII mark
+    follows an ASCII letter or digit.  No alternative of the pre-tokeniser's pattern
+    matches across such a place, unless the character before it is itself white space that
+    ASCII lacks, or a special string stands there; such texts are encoded whole.
     """
     end = np.array([end_id], kind).tobytes()
     odd = np.frombuffer(ODD_SPACE[:4].encode(), np.uint8)
-    for slab in unit_slabs(column, ascii_set(" \t\n\v\f\r")):
+    for slab in unit_slabs(column, ascii_set(" \t\n\v\f\r"), cut_marks=True):
         payload, which = cache.of(slab)
         which = which.tolist()
         multi = np.flatnonzero(np.isin(slab.data, [0xC2, 0xE1, 0xE2, 0xE3, *odd]))
+        special = np.flatnonzero((slab.data[:-1] == ord("<")) & (slab.data[1:] == ord("|")))
+        whole = set(np.searchsorted(slab.offsets, special, side="right").tolist())
         doubtful = set(np.searchsorted(slab.offsets, multi, side="right").tolist()) if len(multi) else set()
         rows = []
         for r in range(slab.n_rows):
-            if r + 1 in doubtful and _has_odd_space(text := slab.row(r).decode()):
-                rows.append(np.array(tok.encode(text, add_special_tokens=False).ids, kind).tobytes() + end)
+            if r + 1 in whole or r + 1 in doubtful and _has_odd_space(slab.row(r).decode()):
+                rows.append(np.array(tok.encode(slab.row(r).decode(), add_special_tokens=False).ids, kind).tobytes() + end)
             else:
                 rows.append(b"".join([payload[i] for i in which[slab.lo[r] : slab.lo[r + 1]]]) + end)
         yield slab.first, rows

@@ -24,15 +24,24 @@ def ascii_set(chars: str) -> np.ndarray:
     return table
 
 
+_WORDS = ascii_set("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARKS = ascii_set("".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()))
+
+
 class UnitSlab:
-    """Units of some consecutive rows; lo[i]:lo[i + 1] are those of row first + i."""
+    """Units of some consecutive rows; lo[i]:lo[i + 1] are those of row first + i.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, sep: np.ndarray, mark_first: bool) -> None:
+    cut_marks: a unit also starts at an ASCII punctuation mark after an ASCII letter or digit.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, sep: np.ndarray, mark_first: bool, cut_marks: bool = False) -> None:
         self.first, self.n_rows = first, len(offsets) - 1
         self.data, self.offsets = data, offsets - offsets[0]
         is_sep = sep[data]
         begins = np.zeros(len(data) + 1, bool)
         begins[1:-1] = is_sep[1:] & ~is_sep[:-1]
+        if cut_marks:
+            begins[1:-1] |= _MARKS[data[1:]] & _WORDS[data[:-1]]
         begins[self.offsets] = True
         self.start = np.flatnonzero(begins[:-1])
         self.end = np.append(self.start[1:], len(data)) if len(self.start) else self.start
@@ -47,7 +56,7 @@ class UnitSlab:
         return self.raw[self.offsets[r] : self.offsets[r + 1]]
 
 
-def unit_slabs(column: pa.Array, sep: np.ndarray, mark_first: bool = False) -> Iterator[UnitSlab]:
+def unit_slabs(column: pa.Array, sep: np.ndarray, mark_first: bool = False, cut_marks: bool = False) -> Iterator[UnitSlab]:
     if not len(column):
         return
     data, offsets = string_buffers(column)
@@ -55,33 +64,42 @@ def unit_slabs(column: pa.Array, sep: np.ndarray, mark_first: bool = False) -> I
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLAB_BYTES, side="right")) - 1)
         last = min(last, len(column))
-        yield UnitSlab(data[offsets[first] : offsets[last]], offsets[first : last + 1], first, sep, mark_first)
+        yield UnitSlab(data[offsets[first] : offsets[last]], offsets[first : last + 1], first, sep, mark_first, cut_marks)
         first = last
 
 
 class UnitCache:
-    """What `encode` gave for the units seen so far, by unit hash; emptied at `limit`."""
+    """What `encode` gave for the units seen lately, by unit hash.
+
+    Two generations of at most `limit` units and one slab's more: a unit that is met again
+    moves to the younger one, and when that is full the older one is dropped.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes], list[bool]], list], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes], list[bool]], list], limit: int = 250_000) -> None:
         self.encode, self.limit = encode, limit
-        self.index: dict[int, int] = {}
-        self.payload: list = []
+        self.young: dict = {}
+        self.old: dict = {}
 
     def of(self, slab: UnitSlab) -> tuple[list, np.ndarray]:
         """(payloads of the distinct units, which of them each unit has)."""
         distinct, first, which = np.unique(slab.hash, return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        if len(self.payload) + len(keys) > self.limit:
-            self.index, self.payload = {}, []
-        get = self.index.get
-        at = [get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(at) if x < 0]
+        young, old = self.young, self.old
+        payload = [young.get(k) for k in keys]
+        new = []
+        for i, x in enumerate(payload):
+            if x is None:
+                k = keys[i]
+                if (y := old.get(k)) is None:
+                    new.append(i)
+                else:
+                    payload[i] = young[k] = y
         if new:
             f = first[new]
             units = [slab.raw[s:e] for s, e in zip(slab.start[f].tolist(), slab.end[f].tolist(), strict=True)]
             heads = np.isin(f, slab.lo[:-1]).tolist()
             for i, x in zip(new, self.encode(units, heads), strict=True):
-                at[i] = self.index[keys[i]] = len(self.payload)
-                self.payload.append(x)
-        payload = self.payload
-        return [payload[i] for i in at], which
+                payload[i] = young[keys[i]] = x
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return payload, which

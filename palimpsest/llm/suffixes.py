@@ -17,7 +17,10 @@
 Defined results: words are runs of anything but ASCII white space, compared by bytes;
 null, empty and short texts have no passage and give no row; a passage repeated inside
 one document only is no repeat; repeated rows count as documents of their own; the first
-holder of a passage is that of smallest doc_id (nulls last), then of smallest row.
+holder of a passage is that of smallest doc_id (nulls last), of equal texts one row only.
+
+Equal texts are one text to the steps above: they repeat as a whole, and only the first of
+them takes part.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from palimpsest.llm.common import as_text, saved, shared_dir
 from palimpsest.llm.textkernel import gram_hash, mix, separators, slabs, sliding_argmin
 
 GRAM, SPREAD = 5, 28
+BITS = 1 << 23
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def anchors(words: np.ndarray, span: int) -> np.ndarray:
@@ -101,8 +106,7 @@ def _passages(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sep = separators("space")
         for batch in batches:
-            rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
-            kept = batch.column("kept")
+            rows, kept = batch.column("row").to_numpy(), batch.column("kept")
             for slab in slabs(batch.column("text"), sep, False):
                 first, second = gram_hash(slab.hash, span), gram_hash(mix(slab.hash ^ np.uint64(0xC2B2AE35)), span)
                 parts = []
@@ -111,8 +115,7 @@ def _passages(span: int):
                     s = np.flatnonzero(np.isin(anchors(slab.hash[a:b], span), kept[slab.first + r].values.to_numpy()))
                     parts.append((np.full(len(s), slab.first + r), s, first[a + s].view(np.int64), second[a + s].astype(np.uint32).view(np.int32)))
                 of, s, h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-                n = slab.n_words[of - slab.first]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[of]), ids.take(pa.array(of)), pa.array(n.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(h), pa.array(g)], ["row", "doc_id", "n_words", "s", "h", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[of]), batch.column("doc_id").take(pa.array(of)), pa.array(s.astype(np.int32)), pa.array(h), pa.array(g)], ["row", "doc_id", "s", "h", "g"])
 
     return run
 
@@ -135,11 +138,36 @@ def _spans(span: int):
                 every, cut = _merged(s, span), _merged(s[later], span)
                 rows.append((sum(b - a for a, b in every), write(every), sum(b - a for a, b in cut), write(cut)))
             cols = [pa.array([x[j] for x in rows], k) for j, k in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *cols], ["doc_id", "n_words", "n_repeated", "spans", "n_later", "later_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *cols], ["row", "n_repeated", "spans", "n_later", "later_spans"])
 
     return run
 
 
+def _marks(rows: DataFrame) -> np.ndarray:
+    """A bitmap of BITS hashed row numbers: a fixed size, whatever the rows."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(BITS)).alias("bit")
+    parts = rows.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(BITS // 8 + (1 << 12), np.uint8)
+    for part, bits in parts.collect():  # at most BITS / 32,768 + 1 rows of 4 KB
+        whole[part * 4096 : part * 4096 + 4096] |= np.frombuffer(bits, np.uint8)
+    return whole
+
+
+def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs less most of those whose row is not among rows, before they are shuffled."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(rows))
+    at = docs.withColumn("bit", F.pmod(F.xxhash64("row"), F.lit(BITS)))
+    at = at.withColumn("part", F.bitmap_bucket_number("bit")).withColumn("place", F.bitmap_bit_position("bit")).drop("bit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, place = batch.column("part").to_numpy(), batch.column("place").to_numpy()
+            hit = marks.value[part * 4096 + (place >> 3)] >> (place & 7).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[:-2]], batch.schema.names[:-2])
+
+    return at.mapInArrow(run, docs.schema)
+
+
 def repeated_passages(docs: DataFrame, span: int = 50) -> DataFrame:
     """One row for each document that shares a passage of `span` words or more.
 
@@ -150,18 +178,30 @@ def repeated_passages(docs: DataFrame, span: int = 50) -> DataFrame:
     if span < SPREAD + GRAM - 1:
         raise ValueError(f"span must be at least {SPREAD + GRAM - 1}")
     folder = shared_dir(docs.sparkSession)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
+    text = as_text()
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("md5"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
     docs = saved(docs, folder, "rows")  # numbers that no later step draws anew
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
+    equal = docs.filter(F.col("n_words") >= span).groupBy("md5", "n_words").agg(lead.alias("lead"), F.count("*").alias("copies")).filter("copies > 1")
+    equal = docs.select("row", "md5", "n_words").join(equal.select("md5", "n_words", F.col("lead.row").alias("first")), ["md5", "n_words"])
+    equal = saved(equal.select("row", (F.col("row") == F.col("first")).alias("is_first")), folder, "equal")
     sparse = saved(docs.select("row", "text").mapInArrow(_suffixes(span), "key long, row long, pos int"), folder, "suffixes")
-    ordered = sparse.repartitionByRange("key", "row").sortWithinPartitions("key", "row", "pos")
+    sparse = sparse.join(equal.filter("not is_first").select("row"), "row", "left_anti")
+    ordered = sparse.repartitionByRange("key", "row").sortWithinPartitions("key", "row", "pos").select("key", "row", "pos")
     near = saved(ordered.mapInArrow(neighbours, "key long, row long, pos int, edge boolean"), folder, "near")
     edge = near.filter("edge")
     settled = near.join(edge.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b")
     stay = near.filter("not edge").select("row", "pos").union(edge.join(settled, "key", "left_semi").select("row", "pos"))
-    kept = stay.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("kept"))  # of one document
-    passages = saved(docs.join(kept, "row").select("row", "doc_id", "text", "kept").mapInArrow(_passages(span), "row long, doc_id long, n_words long, s int, h long, g int"), folder, "passages")
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
-    shared = passages.groupBy("h", "g").agg(F.min("row").alias("a"), F.max("row").alias("b"), lead.alias("lead")).filter("a < b")
-    hits = passages.join(shared.select("h", "g", F.col("lead.row").alias("first")), ["h", "g"])
-    hits = hits.groupBy("row", "doc_id", "n_words").agg(F.collect_list(F.struct("s", (F.col("first") != F.col("row")).alias("later"))).alias("hits"))  # of one document
-    return hits.select("doc_id", "n_words", "hits").mapInArrow(_spans(span), "doc_id long, n_words long, n_repeated long, spans string, n_later long, later_spans string")
+    kept = saved(stay.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("kept")), folder, "kept")  # of one document
+    texts = _marked(docs.select("row", "doc_id", "text"), kept.select("row"))
+    passages = saved(texts.join(kept, "row").mapInArrow(_passages(span), "row long, doc_id long, s int, h long, g int"), folder, "passages")
+    shared = passages.groupBy("h", "g").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("doc_id").alias("first")).filter("a < b")
+    hits = passages.join(shared.select("h", "g", "first"), ["h", "g"]).select("row", F.struct("s", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")).alias("hit"))
+    spans = hits.groupBy("row").agg(F.collect_list("hit").alias("hits")).mapInArrow(_spans(span), "row long, n_repeated long, spans string, n_later long, later_spans string")  # of one document
+    found = spans.join(equal, "row", "full_outer").join(docs.select("row", "doc_id", "n_words"), "row")
+    whole, later = F.col("is_first").isNotNull(), F.coalesce(~F.col("is_first"), F.lit(False))
+    every = F.concat(F.lit("0:"), F.col("n_words"))
+    return found.select(
+        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_repeated")).alias("n_repeated"), F.when(whole, every).otherwise(F.col("spans")).alias("spans"),
+        F.when(later, F.col("n_words")).otherwise(F.coalesce("n_later", F.lit(0))).alias("n_later"), F.when(later, every).otherwise(F.coalesce("later_spans", F.lit(""))).alias("later_spans"),
+    )

@@ -190,7 +190,7 @@ def repeated_passages(docs: DataFrame, span: int = 50) -> DataFrame:
     ordered = sparse.repartitionByRange("key", "row").sortWithinPartitions("key", "row", "pos").select("key", "row", "pos")
     near = saved(ordered.mapInArrow(neighbours, "key long, row long, pos int, edge boolean"), folder, "near")
     edge = near.filter("edge")
-    settled = near.join(edge.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b")
+    settled = near.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b").join(edge.select("key").distinct(), "key", "left_semi")
     stay = near.filter("not edge").select("row", "pos").union(edge.join(settled, "key", "left_semi").select("row", "pos"))
     kept = saved(stay.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("kept")), folder, "kept")  # of one document
     texts = _marked(docs.select("row", "doc_id", "text"), kept.select("row"))

@@ -141,12 +141,12 @@ def features(token: str, before: str) -> list[str]:
 
 def graph(text: str, found: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(chain edges, skip edges) between token numbers: tokens parted by one white space
-    run, and equal tokens to their next occurrence."""
+    run, and equal tokens to their next occurrence where no chain edge joins the two."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 4 and text[found[i][1] : found[i + 1][0]].strip(_TOKEN_EDGE + " ") == ""]
-    skip, last = [], {}
+    skip, last, chained = [], {}, {i for i, _ in chain}
     for i, (a, b, _) in enumerate(found):
         key = re.sub(r"[\W_]+", "", text[a:b]).lower()
-        if key in last and i - last[key] > 1:
+        if key in last and not (i - last[key] == 1 and last[key] in chained):
             skip.append((last[key], i))
         last[key] = i
     return chain, skip

@@ -305,6 +305,16 @@ def test_skip_edges_carry_labels():
     assert tied[1] == pytest.approx(joint.sum(0) / joint.sum(), abs=1e-3)  # one edge: exact
 
 
+def test_distant_repeats_are_linked():
+    words = " word" * 300
+    far = f"4952935900253052{words} 4952935900253052"
+    assert pii.graph(far, pii.tokens(far)) == ([], [(0, 1)])
+    many = f" {words} ".join(["a1@b.org"] * 5)
+    assert pii.graph(many, pii.tokens(many)) == ([], [(i, i + 1) for i in range(4)])
+    near = "12 12 34 12"
+    assert pii.graph(near, pii.tokens(near)) == ([(0, 1), (1, 2), (2, 3)], [(1, 3)])  # a chain edge is no skip edge too
+
+
 def test_personal_data(spark):
     texts = ["mail é a.b@x.org or 10.0.0.1.", None, "", "+1 (514) 555-8389 and 4111 1111 1111 1111", "4111-1111-1111-1111 " * 300]
     frame = spark.createDataFrame([(i, t, len(t or ""), "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")

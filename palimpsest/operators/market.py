@@ -35,6 +35,24 @@ def monthly_returns(closes: DataFrame) -> DataFrame:
     return out.select("date", "ticker", (F.col("close") / F.col("prev.close") - 1).alias("ret"))
 
 
+def returns_wide(returns: DataFrame) -> DataFrame:
+    """(ticker, year, M1..M12): every return of the long table (date, ticker, ret).
+
+    The columns are months of the year, so the schema is fixed however many tickers and
+    months of history there are.
+    """
+    months = returns.select("ticker", F.year("date").alias("year"), F.month("date").alias("month"), "ret")
+    wide = months.groupBy("ticker", "year").pivot("month", list(range(1, 13))).agg(F.max("ret"))
+    return wide.select("ticker", "year", *[F.col(f"`{m}`").alias(f"M{m}") for m in range(1, 13)])
+
+
+def returns_long(wide: DataFrame) -> DataFrame:
+    """(date, ticker, ret) of returns_wide(), months without a return left out."""
+    cells = wide.unpivot(["ticker", "year"], [f"M{m}" for m in range(1, 13)], "month", "ret").dropna(subset=["ret"])
+    date = F.last_day(F.make_date("year", F.substring("month", 2, 2).cast("int"), F.lit(1)))
+    return cells.select(date.alias("date"), "ticker", "ret")
+
+
 def calendar(returns: DataFrame) -> DataFrame:
     """(date, pos) of the months with returns, numbered from 0.  A row a month of history."""
     return returns.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))

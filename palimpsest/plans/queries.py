@@ -17,6 +17,8 @@ from palimpsest.sources.views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The whole job where the SQL beside a query of QUERIES names only a part of it; no SQL of their own.
+WHOLE: dict[str, Query] = {}
 SAMPLES = (("Full sample", None, None), ("Through 1998", None, "1998-12-31"), ("1999 onward", "1999-01-01", None))
 GATES = {"min_full": 100, "min_section": 20}
 FIRM = ["firm", "edition"]
@@ -27,6 +29,11 @@ def query(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     return f
 
 
+def whole(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+    WHOLE[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+    return f
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
@@ -231,6 +238,16 @@ def returns_melt(v: Views) -> DataFrame:
     return returns_pivot(v).unpivot(["date"], _FEW, "ticker", "ret").dropna(subset=["ret"])
 
 
+@whole
+def returns_pivot_all(v: Views) -> DataFrame:
+    return rounded(market.returns_wide(v.returns()))
+
+
+@whole
+def returns_melt_all(v: Views) -> DataFrame:
+    return rounded(market.returns_long(returns_pivot_all(v)))
+
+
 @query
 def factor_means(v: Views) -> DataFrame:
     return rounded(v.factors())

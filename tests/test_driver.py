@@ -46,6 +46,15 @@ def test_edit_pairs_equal_python(spark, sf):
     assert got["edit"].between(0, 1).all() and len(got) > 100 and similarity(["a"], ["a"]) == 1
 
 
+def test_returns_of_every_ticker_are_pivoted_and_melted(spark, sf):
+    queries = driver.queries()
+    every = _rows(queries["monthly_returns"](spark, sf).toPandas())
+    wide = queries["returns_pivot_all"](spark, sf).toPandas()
+    assert set(wide["ticker"]) == {r[-1] for r in every} and len(set(wide["ticker"])) > 4
+    assert wide.filter(regex="^M").notna().sum().sum() == len(every)
+    assert _rows(queries["returns_melt_all"](spark, sf).toPandas()) == every
+
+
 def test_entry(spark):
     out = driver.entry(spark)
     assert out.columns[:3] == ["signal", "date", "n_names"] and out.count() > 0

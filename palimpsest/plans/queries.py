@@ -135,7 +135,9 @@ def jaccard_pairs(v: Views) -> DataFrame:
 
 @query
 def edit_pairs(v: Views) -> DataFrame:
-    return rounded(similarity.edit(similarity.consecutive_pairs(v.filings()), _texts(v)).select("accession", "edit"))
+    """Every section; one that has no text in an edition (a document of few lines) is not there."""
+    there = v.sections().filter("section = 'full' or text <> ''")
+    return rounded(similarity.edit(similarity.consecutive_pairs(v.filings()), there).select("accession", "section", "edit"))
 
 
 @query
@@ -148,6 +150,11 @@ def similarity_panel_wide(v: Views) -> DataFrame:
     return rounded(_panel(v))
 
 
+@whole
+def similarity_panel_edit(v: Views) -> DataFrame:
+    return rounded(_panel(v, with_edit=True))
+
+
 @query
 def similarity_trend_median(v: Views) -> DataFrame:
     return rounded(similarity.trend_by_year(_panel(v)))

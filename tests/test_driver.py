@@ -12,6 +12,8 @@ import pytest
 import __spark_entry__ as driver
 from palimpsest.plans import oracle
 from palimpsest.plans.queries import QUERIES
+from palimpsest.schemas import SECTIONS
+from palimpsest.sources.views import Views
 from palimpsest.streaming.landing import parse_arrivals
 
 FAST = ["universe_dedup", "form_filter_index", "filing_url", "token_counts", "cosine_pairs", "consecutive_pairs_orders", "qa_summary_by_year", "normalize_lines", "top_changes", "returns_melt", "factor_block_parse", "formation_dates", "quantile_assignment", "turnover_net", "status_counts"]
@@ -46,6 +48,33 @@ def test_edit_pairs_equal_python(spark, sf):
     assert got["edit"].between(0, 1).all() and len(got) > 100 and similarity(["a"], ["a"]) == 1
 
 
+def test_edit_of_every_section(spark, sf):
+    """Brute force by the textbook recurrence, on the shorter pairs."""
+    import re
+
+    texts = {(r.accession, r.section): re.findall("[a-z]{2,}", r.text.lower()) for r in Views(spark, sf).sections().collect()}
+    pairs = QUERIES["edit_pairs"](spark, sf).toPandas()
+    panel = driver.queries()["similarity_panel_edit"](spark, sf).toPandas()
+    before = dict(zip(panel["accession"], panel["prev_accession"], strict=True))
+    assert set(pairs["section"]) == set(SECTIONS) and set(QUERIES["similarity_panel_wide"](spark, sf).columns) < set(panel.columns)
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    for s in SECTIONS:
+        of_pairs = {r.accession: r.edit for r in pairs[pairs["section"] == s].itertuples()}
+        of_panel = panel.set_index("accession")[f"{s}_edit"].dropna().to_dict()
+        assert of_panel and set(of_panel) == set(panel.set_index("accession")[f"{s}_cosine"].dropna().index)
+        assert all(of_pairs[k] == x for k, x in of_panel.items())
+        short = [k for k in of_pairs if len(texts[k, s]) * len(texts[before[k], s]) < 20_000]
+        assert short and all(of_pairs[k] == pytest.approx(brute(texts[before[k], s], texts[k, s]), abs=1e-6) for k in short)
+
+
 def test_returns_of_every_ticker_are_pivoted_and_melted(spark, sf):
     queries = driver.queries()
     every = _rows(queries["monthly_returns"](spark, sf).toPandas())

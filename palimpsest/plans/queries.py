@@ -39,6 +39,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _min_names(v: Views) -> int:
+    """Of the queries with SQL, which has the same switch; whole ones take the reference's 50 on any table."""
     return 50 if v.firms() >= 100 else 5
 
 
@@ -56,6 +57,31 @@ def _signals(v: Views) -> DataFrame:
     return v.once("signals", lambda: _measures(v).select("cik", "ticker", "accession", "filing_date", F.inline(both)))
 
 
+def _every_signal(v: Views) -> DataFrame:
+    """Every measure of every section that passes its gate, and the semantic ones: 11 signals."""
+
+    def make() -> DataFrame:
+        panel = v.settled("panel-edit", lambda: _panel(v, with_edit=True))
+        keys = ["cik", "ticker", "accession", "filing_date"]
+        scores = semantic.semantic_panel(panel, v.sections())[0].filter("semantic is not null")
+        rows = scores.join(panel.select(*keys), "accession").select(*keys, F.concat("section", F.lit("_semantic")).alias("signal"), F.col("semantic").alias("value"))
+        return similarity.long_signals(panel).unionByName(rows)
+
+    return v.settled("every-signal", make)
+
+
+def _every_portfolio(v: Views, min_names: int = portfolio.MIN_NAMES) -> DataFrame:
+    return v.once(f"every-portfolio-{min_names}", lambda: portfolio.run_sort(_every_signal(v), v.returns(), min_names=min_names))
+
+
+def _every_series(v: Views) -> DataFrame:
+    return perf.in_samples(perf.long_series(_every_portfolio(v)), SAMPLES)
+
+
+def _every_quantile(v: Views) -> DataFrame:
+    return v.once("every-quantile", lambda: portfolio.quantiles(portfolio.live_signal(_every_signal(v), v.returns())))
+
+
 def _qa(v: Views) -> DataFrame:
     return filing_ops.quality_gates(v.parsed(), **GATES)
 
@@ -325,7 +351,7 @@ def capm_regression(v: Views) -> DataFrame:
 
 @query
 def multifactor_regression(v: Views) -> DataFrame:
-    return rounded(research.attribution(_portfolios(v), v.factors()))
+    return rounded(research.attribution(_every_portfolio(v), v.factors()))
 
 
 @query
@@ -373,6 +399,64 @@ def signal_labels(v: Views) -> DataFrame:
     return _signals(v).select("signal").distinct().withColumn("label", perf.label(F.col("signal")))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+@whole
+def signals_all(v: Views) -> DataFrame:
+    return rounded(_every_signal(v))
+
+
+@whole
+def live_signal_all(v: Views) -> DataFrame:
+    return rounded(portfolio.live_signal(_every_signal(v), v.returns()))
+
+
+@whole
+def quantile_assignment_all(v: Views) -> DataFrame:
+    return _every_quantile(v)
+
+
+@whole
+def quantile_returns_all(v: Views) -> DataFrame:
+    return rounded(portfolio.quantile_returns(_every_quantile(v), v.returns()))
+
+
+@whole
+def portfolio_returns_all(v: Views) -> DataFrame:
+    """What long_short and turnover_net show."""
+    return rounded(_every_portfolio(v))
+
+
+@whole
+def performance_stats_all(v: Views) -> DataFrame:
+    return rounded(perf.performance(_every_series(v)))
+
+
+@whole
+def newey_west_t_all(v: Views) -> DataFrame:
+    return rounded(perf.newey_west(_every_series(v)))
+
+
+@whole
+def capm_regression_all(v: Views) -> DataFrame:
+    return rounded(perf.capm(_every_series(v), v.factors()))
+
+
+@whole
+def quintile_means_all(v: Views) -> DataFrame:
+    return rounded(perf.quantile_means(_every_portfolio(v), SAMPLES))
+
+
+@whole
+def hold_robustness_all(v: Views) -> DataFrame:
+    """The primary signals of the design, with both alpha columns."""
+    return rounded(research.robustness(_every_signal(v), v.returns(), v.factors(), portfolio.COST_BPS, portfolio.MIN_NAMES))
+
+
+@whole
+def research_tables_long_all(v: Views) -> DataFrame:
+    wide = perf.performance(_every_series(v)).drop("months")
+    return rounded(wide.unpivot(perf.KEY, [c for c in wide.columns if c not in perf.KEY], "statistic", "value").dropna(subset=["value"]))
+
+
+def flagship(spark: SparkSession, sf_dir: str, min_names: int = portfolio.MIN_NAMES) -> DataFrame:
     """Text change to long-short returns, net of costs."""
-    return _portfolios(Views(spark, sf_dir))
+    return _every_portfolio(Views(spark, sf_dir), min_names)

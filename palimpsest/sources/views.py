@@ -25,6 +25,14 @@ class Views:
             self.kept[name] = make().persist()
         return self.kept[name]
 
+    def settled(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """As once(), but written to the checkpoint folder, if there is one: what is built on
+        it has a short plan."""
+        if name not in self.kept:
+            there = self.spark.sparkContext.getCheckpointDir() or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+            self.kept[name] = make().checkpoint() if there else make().persist()
+        return self.kept[name]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

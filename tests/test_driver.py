@@ -89,6 +89,21 @@ def test_entry(spark):
     assert out.columns[:3] == ["signal", "date", "n_names"] and out.count() > 0
 
 
+def test_research_takes_every_signal(spark, sf):
+    every = [f"{s}_{m}" for s in SECTIONS for m in ("cosine", "jaccard", "edit")] + ["item1a_semantic", "item7_semantic"]
+    signals = driver.queries()["signals_all"](spark, sf).toPandas()
+    panel = driver.queries()["similarity_panel_edit"](spark, sf).toPandas()
+    assert set(signals["signal"]) == set(every)
+    for name in every[:9]:
+        got = signals[signals["signal"] == name].set_index("accession")["value"].to_dict()
+        assert got == panel.set_index("accession")[name].dropna().to_dict()
+    for s in ("item1a", "item7"):
+        assert set(signals[signals["signal"] == f"{s}_semantic"]["accession"]) <= set(panel[panel[f"{s}_cosine"].notna()]["accession"])
+    assert len({r.signal for r in driver.entry(spark).select("signal").distinct().collect()}) > 2
+    out = driver.queries()["hold_robustness_all"](spark, sf)
+    assert {"alpha_monthly_bps", "alpha_t"} <= set(out.columns)
+
+
 def test_stream_parses_each_file_once(spark, tmp_path):
     for i in range(2):
         (tmp_path / "in/5").mkdir(parents=True, exist_ok=True)

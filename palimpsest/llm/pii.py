@@ -34,7 +34,8 @@ from palimpsest.llm.common import as_text
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-TRAIN_TEXTS, RIDGE, SURE, ROUNDS = 250, 1.0, 0.95, 12
+TRAIN_TEXTS, RIDGE, SURE, ROUNDS = 250, 1.0, 0.95, 10_000
+SETTLED = 1e-6  # largest move of a text's messages when they count as settled
 
 # Possessive forms of the patterns: a run of digits or of address characters is only ever
 # entered at its start, where the pattern itself would match first.
@@ -157,8 +158,12 @@ class Field:
         self.weights, self.chain, self.skip = weights, chain, skip
         self.none = np.zeros(len(LABELS))
 
-    def marginals(self, own: np.ndarray, edges: list[tuple[int, int]], kinds: np.ndarray) -> np.ndarray:
-        """Loopy sum-product, all messages at once, damped; kinds: 0 chain, 1 skip."""
+    def marginals(self, own: np.ndarray, edges: list[tuple[int, int]], kinds: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product, all messages at once, damped; kinds: 0 chain, 1 skip.
+
+        part: the text of each token, ascending.  A text's messages are sent until they
+        settle, whatever other texts are still moving.
+        """
         belief = own.copy()
         if edges:
             e = np.array(edges)
@@ -167,16 +172,22 @@ class Field:
             both = np.stack([self.chain, self.skip])
             potential = np.concatenate([both[kinds], both[kinds].transpose(0, 2, 1)])  # [source label, target label]
             message = np.zeros((len(source), len(LABELS)))
+            of = np.zeros(len(source), int) if part is None else part[source]
+            open_ = np.arange(len(source))  # messages of texts that still move
             for _ in range(ROUNDS):
-                x = (belief[source] - message[back])[:, :, None] + potential
+                s, t = source[open_], target[open_]
+                x = (belief[s] - message[back[open_]])[:, :, None] + potential[open_]
                 top = x.max(axis=1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
                 new -= new.max(axis=1, keepdims=True)
-                moved = np.abs(new - message).max()
-                message = 0.5 * message + 0.5 * new
-                belief = own.copy()
-                np.add.at(belief, target, message)
-                if moved < 1e-3:
+                old = message[open_]
+                moved = np.zeros(of.max() + 1)
+                np.maximum.at(moved, of[open_], np.abs(new - old).max(axis=1))
+                message[open_] = 0.5 * old + 0.5 * new
+                belief[t] = own[t]
+                np.add.at(belief, t, message[open_])
+                open_ = open_[moved[of[open_]] >= SETTLED]
+                if not len(open_):
                     break
         belief -= belief.max(axis=1, keepdims=True)
         p = np.exp(belief)
@@ -295,7 +306,7 @@ def added_spans(field: Field, texts: list[str], bases: list[list[Span]]) -> list
     out: list[list[Span]] = [[] for _ in texts]
     if not own:
         return out
-    p = field.marginals(np.array(own), edges, np.array(kinds, int))
+    p = field.marginals(np.array(own), edges, np.array(kinds, int), np.array([t for t, _, _ in of]))
     label, sure = p.argmax(axis=1), p.max(axis=1) >= SURE
     chained = {i for (i, _), k in zip(edges, kinds, strict=True) if k == 0}
     i = 0

@@ -315,6 +315,23 @@ def test_distant_repeats_are_linked():
     assert pii.graph(near, pii.tokens(near)) == ([(0, 1), (1, 2), (2, 3)], [(1, 3)])  # a chain edge is no skip edge too
 
 
+def test_messages_reach_far_and_keep_to_their_text():
+    n, tie = 100, np.eye(5) * 8
+    own = np.zeros((n, 5))
+    own[0, 3] = 9.0
+    field = pii.Field({}, np.zeros((5, 5)), tie)
+    edges = [(i, i + 1) for i in range(n - 1)]
+    step = np.exp(tie) / np.exp(tie).sum(axis=1, keepdims=True)
+    first = np.exp(own[0]) / np.exp(own[0]).sum()
+    far = field.marginals(own, edges, np.ones(n - 1, int))
+    assert far[-1] == pytest.approx(first @ np.linalg.matrix_power(step, n - 1), abs=1e-3) and far[-1].argmax() == 3  # a chain: exact
+    pair = np.zeros((2, 5))
+    pair[0, 2] = 3.0
+    alone = field.marginals(pair, [(0, 1)], np.ones(1, int), np.zeros(2, int))
+    both = field.marginals(np.concatenate([pair, own]), [(0, 1), *((i + 2, j + 2) for i, j in edges)], np.ones(n, int), np.array([0, 0] + [1] * n))
+    assert both[:2] == pytest.approx(alone, abs=1e-12) and both[2:] == pytest.approx(far, abs=1e-12)
+
+
 def test_personal_data(spark):
     texts = ["mail é a.b@x.org or 10.0.0.1.", None, "", "+1 (514) 555-8389 and 4111 1111 1111 1111", "4111-1111-1111-1111 " * 300]
     frame = spark.createDataFrame([(i, t, len(t or ""), "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, spans string")

@@ -242,7 +242,9 @@ def _fetch(folder: str, width: int):
             n, crc = [], []
             for digests, root, places in zip(*(batch.column(c).to_pylist() for c in ("digests", "root", "places")), strict=True):
                 data = []
-                for x in places:
+                for x in places or [{"pack": None}]:
+                    if x["pack"] is None:
+                        raise ValueError("a chunk of a recipe is missing from the index")
                     if x["pack"] not in files:
                         if len(files) >= 64:
                             files.clear()
@@ -265,8 +267,8 @@ def read_store(spark: SparkSession, folder: str, width: int) -> DataFrame:
     recipes, index = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/index")
     each = F.transform(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1), lambda i: F.substring(F.col("digests"), i * DIGEST + 1, F.lit(DIGEST)))
     refs = recipes.select("row", F.posexplode(each).alias("seq", "digest"))
-    places = refs.join(index, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "pack", "at", "size"))).alias("places"))  # of one document
-    docs = recipes.join(places, "row").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    places = refs.join(index, "digest", "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "pack", "at", "size"))).alias("places"))  # of one document
+    docs = recipes.join(places, "row", "left").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     out = docs.select("row", "doc_id", "digests", "root", "places").mapInArrow(_fetch(folder, width), "row long, doc_id long, n_tokens long, ids_crc32 long")
     out = saved(out.withColumn("part", F.spark_partition_id()), folder, f"read-{uuid.uuid4().hex}")
     # One total a partition comes to the driver; ranges ascend with the partition's number.

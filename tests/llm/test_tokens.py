@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -95,6 +96,16 @@ def test_store_round_trip(spark, docs, tmp_path):
     assert not (tmp_path / "store/stage").exists()
 
 
+def test_missing_chunk_is_found(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(docs, P.path("byte_bpe_50k.json"), folder)
+    lost = spark.read.parquet(f"{folder}/recipes").filter("length(digests) = 16").first().digests
+    rest = spark.read.parquet(f"{folder}/index").filter(F.col("digest") != F.lit(bytes(lost))).collect()
+    spark.createDataFrame(rest, "digest binary, pack string, at long, size int").write.mode("overwrite").parquet(f"{folder}/index")
+    with pytest.raises(Exception, match="missing from the index"):
+        token_store.read_store(spark, folder, 2).collect()
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/store"
     token_store.write_store(docs, P.path("byte_bpe_50k.json"), folder)

@@ -33,7 +33,6 @@ from palimpsest.llm.common import as_text, saved, shared_dir
 from palimpsest.llm.textkernel import Slab, gram_hash, separators, slabs, sliding_argmin
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-RUNS = "doc_id long, row long, n_words long, item string, lo long, hi long"
 GRAM = 5
 
 
@@ -118,12 +117,12 @@ def _union(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _row(n_words: int, hits: list[tuple[str, int, int]], n_items: int, item_ids: list[str], share: int) -> tuple:
+def _row(n_words: int, hits: list[tuple[str, int, int]], n_items: int, item_ids: list[str], share: int | None) -> tuple:
     n_hit = _union([(s, e) for _, s, e in hits])
-    return n_words, n_hit, n_items, hashlib.sha256(",".join(item_ids).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n_words
+    return n_words, n_hit, n_items, hashlib.sha256(",".join(item_ids).encode()).hexdigest(), n_hit > 0 and (share is None or share * n_hit >= n_words)
 
 
-def _scan(items: Items, share: int, keep: list[str]):
+def _scan(items: Items, share: int | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sep = separators("alnum")
         for batch in batches:
@@ -161,11 +160,11 @@ def _rows_with_prints(items: Items, slab: Slab) -> np.ndarray:
     return busy
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, max_item_bytes: int = 1 << 24) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: int | None = 20, max_item_bytes: int = 1 << 24) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     docs: doc_id, text; items: item_id, text.  contaminated: n_hit > 0 and share * n_hit
-    >= n_words.  max_item_bytes: above so much item text the shuffle route is taken.
+    >= n_words; with share None any hit counts.  max_item_bytes: above so much item text the shuffle route is taken.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text"))
     items = items.select(F.col("item_id").cast("string").alias("item_id"), as_text().alias("text"))
@@ -177,7 +176,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     return _by_shuffle(docs, items, window, share)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, max_item_bytes: int = 1 << 24) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, share: int | None = 20, max_item_bytes: int = 1 << 24) -> DataFrame:
     """docs less the contaminated rows, columns unchanged.  Rows are judged one by one, so
     repeated or null ids don't matter."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(as_text())), F.lit(0))).first()[0]
@@ -223,7 +222,7 @@ def _prints_of(window: int, lengths: list[int], key: str):
     return run
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, share: int | None) -> DataFrame:
     """The route for large test sets: no side is broadcast, no pair of texts is formed
     without a common fingerprint.  Rows are numbered, as ids may repeat or be null."""
     folder = shared_dir(docs.sparkSession)
@@ -234,20 +233,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, share: int) -> D
     left = docs.mapInArrow(_prints_of(window, lengths, "doc_row"), "hash long, doc_row long")
     right = items.mapInArrow(_prints_of(window, lengths, "item_row"), "hash long, item_row long")
     pairs = left.join(right, "hash").select("doc_row", "item_row").distinct()
-    pairs = pairs.join(items.withColumnRenamed("text", "item_text"), "item_row").join(docs.select("doc_row", "text"), "doc_row")
-    runs = pairs.mapInArrow(_pair_runs(window), "doc_row long, item_row long, item_id string, spans array<struct<s:long,e:long>>")
-    found = runs.groupBy("doc_row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.collect_list("item_id").alias("ids"))
-    counts = docs.select("doc_row", "doc_id", "text").mapInArrow(_count_docs, "doc_row long, doc_id long, n_words long")
-    out = counts.join(found, "doc_row", "left")
-    ends = F.aggregate(
-        F.sort_array(F.coalesce("spans", F.expr("cast(array() as array<struct<s:long,e:long>>)"))),
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")),
-        lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["e"]).alias("end")),
-    )
-    n_hit = F.coalesce(ends["n"], F.lit(0).cast("long"))
-    joined = F.array_join(F.sort_array(F.coalesce("ids", F.expr("cast(array() as array<string>)"))), ",")
-    out = out.withColumn("n_hit", n_hit)
-    return out.select("doc_id", "n_words", "n_hit", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    found = pairs.join(items, "item_row").groupBy("doc_row").agg(F.collect_list(F.struct("item_row", "item_id", "text")).alias("items"))  # the candidates of one document; its text is sent once
+    return docs.join(found, "doc_row", "left").select("doc_id", "text", "items").mapInArrow(_judged(window, share), SCHEMA)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,24 +243,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(slab.n_words.astype(np.int32))], ["n"])
 
 
-def _count_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = [s.n_words for s in slabs(batch.column("text"), separators("alnum"), True)]
-        n = np.concatenate(n) if n else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_row"), batch.column("doc_id"), pa.array(n.astype(np.int64))], ["doc_row", "doc_id", "n_words"])
-
+def _judged(window: int, share: int | None):
+    """SCHEMA rows of documents (doc_id, text, items): each is scanned for its own candidates."""
 
-def _pair_runs(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        sep, packed = separators("alnum"), {}
         for batch in batches:
-            rows = []
-            for x in batch.to_pylist():
-                items = Items.pack([x["item_id"]], [x["item_text"]], window)
-                slab = next(slabs(pa.array([x["text"]], pa.large_string()), separators("alnum"), True))
-                if hits := items.runs(slab, 0, len(slab.start)):
-                    rows.append((x["doc_row"], x["item_row"], x["item_id"] or "", [{"s": s, "e": e} for _, s, e in hits]))
-            cols = [pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.string(), kind))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_row", "item_row", "item_id", "spans"])
+            for slab in slabs(batch.column("text"), sep, True):
+                rows, counts = [], slab.n_words
+                for r in range(slab.n_rows):
+                    own = batch.column("items")[slab.first + r].as_py()
+                    if not own:
+                        rows.append(_row(int(counts[r]), [], 0, [], share))
+                        continue
+                    own = {x["item_row"]: (x["item_id"], x["text"]) for x in sorted(own, key=lambda x: x["item_row"])}
+                    key = tuple(own)
+                    if key not in packed:
+                        if len(packed) >= 64:
+                            packed.clear()
+                        packed[key] = Items.pack(*map(list, zip(*own.values(), strict=True)), window)
+                    items = packed[key]
+                    hits = items.runs(slab, slab.word_lo[r], slab.word_lo[r + 1])
+                    found = sorted({i for i, _, _ in hits})
+                    rows.append(_row(int(counts[r]), hits, len(found), sorted(items.ids[i] for i in found), share))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+                cols = [pa.array([x[j] for x in rows], kinds[j]) for j in range(5)]
+                ids = batch.column("doc_id")[slab.first : slab.first + slab.n_rows]
+                yield pa.RecordBatch.from_arrays([ids, *cols], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return run

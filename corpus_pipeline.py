@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again.  All but
 the last return the columns of documents.
+
+Defined results: a null or empty text has no words, so the first stage takes its row away;
+a null source is a host of its own; rows with a null or repeated doc_id are judged one by
+one; of rows with one text only the one of smallest doc_id stays (nulls last); extra
+columns are carried through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from palimpsest.llm.winnow import without_contaminated
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the document and host rules reject go."""
-    return only_kept(docs, host_limit=0.8)
+    return only_kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows of 13 words go."""
-    return without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=13, share=20)
+    """Documents that hold a benchmark window of 13 words anywhere go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), window=13, share=None)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     write_store(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), folder, end_id=2)
-    return read_store(spark, folder, width=2)
+    return read_store(spark, folder)
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), shared_dir(spark), least_bytes=0)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"), shared_dir(spark), least_bytes=0)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(_documents(spark, sf_dir, "source"), host_limit=0.8)
+    return quality_report(_documents(spark, sf_dir, "source"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ response and the others are revisits that refer to it.  Each task appends gzip m
 one a record, to an archive of its own, whose name is unique to the attempt; only
 archives that a committed row names are read.
 
-Reading: archives are dealt out as byte ranges.  A task scans its range for the gzip
-magic, validates a candidate by inflating its head and looking for a WARC version line,
-and owns the records that start inside the range; the last may end beyond it.  After an
-owned record the next one starts where it ended, and after damage the scan goes on.
+Reading: archives are dealt out as byte ranges, over a stated number of tasks.  A task
+scans its range for the gzip magic, validates a candidate by inflating its head and looking
+for a WARC version line, and owns the records that start inside the range; the last may end
+beyond it.  After an owned record the next one starts where it ended, and after damage the
+scan goes on.  The round trip compares what was read with what was written: a record that
+is missing, or whose payload does not match its digest, fails the query.
 
 Defined results: a null html is an empty payload; a null page_id is kept, and never the
 response of a group with other ids; repeated rows with the id and the payload of a
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_text
+from palimpsest.llm.common import as_text, saved
 from palimpsest.llm.token_store import filesystem
 
 MAGIC = b"\x1f\x8b\x08"
@@ -88,13 +90,16 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as archives; rows: path, size, n_records (saved).
 
-    Only payloads that occur more than once take part in the join that finds their
-    response; which side is broadcast, or split for a hot payload, is left to Spark.
+    Responses are found on digests and ids alone, combined before they shuffle, and only
+    those of payloads that repeat are written down.  They are joined back as a scan to a
+    scan: pages stay where they are while that table is small enough to broadcast, and
+    beyond that adaptive execution splits a hot payload, as no aggregate stands between.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), as_text("html").alias("html"))
     pages = pages.withColumn("sha_hex", F.sha1("html"))
     again = pages.filter(F.octet_length("html") >= least_bytes).groupBy("sha_hex").agg(F.min("page_id").alias("lead_id"), F.count("*").alias("n")).filter("n > 1")
-    marked = pages.join(again.select("sha_hex", "lead_id", F.lit(True).alias("again")), "sha_hex", "left")
+    again = saved(again.select("sha_hex", "lead_id", F.lit(True).alias("again")), folder, "leads")
+    marked = pages.join(again, "sha_hex", "left")
     marked = marked.withColumn("is_revisit", F.coalesce("again", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("lead_id")))
     marked = marked.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.when(F.col("is_revisit"), F.col("lead_id")).alias("refers_to"), "is_revisit", _base32("sha_hex").alias("sha"))
     path = f"{folder}/written"
@@ -190,16 +195,34 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
 
+TASK_BYTES = 64 << 20
+
+
 def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     """Records of archives (path, size): page_id, payload_bytes, payload_digest,
-    record_type, refers_to, valid (the payload matches its digest and length)."""
+    record_type, refers_to, valid (the payload matches its digest and length).
+
+    files is read twice: first for how many tasks the ranges are dealt out to, one for
+    TASK_BYTES of archive, and at least four a core, as far as there are ranges.
+    """
+    ranges, size = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / split_bytes)), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(ranges, max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     ranges = files.select("path", "size", starts.alias("start")).withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
-    return ranges.repartition("path", "start").mapInArrow(_read, RECORDS)
+    return ranges.repartition(tasks).mapInArrow(_read, RECORDS)  # a stated number: adaptive execution would put all these small rows in one task
 
 
 def round_trip(pages: DataFrame, folder: str, least_bytes: int = 0, split_bytes: int = 8 << 20) -> DataFrame:
-    """Writes pages and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return read_archives(write_archives(pages, folder, least_bytes), split_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid")
-
-
+    """Writes pages and reads them back: page_id, payload_bytes, payload_digest, record_type,
+    refers_to.  ValueError if a record written is not read, or read damaged."""
+    files = write_archives(pages, folder, least_bytes)
+    records = saved(read_archives(files, split_bytes), folder, "records")
+    check_records(files, records)
+    return records.drop("valid")
+
+
+def check_records(files: DataFrame, records: DataFrame) -> None:
+    written = files.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    read, valid = records.agg(F.count("*"), F.count_if("valid")).first()
+    if not written == read == valid:
+        raise ValueError(f"{written} records were written, {read} read, of which {valid} are valid")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import html
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import dom, main_text, warc
 
@@ -29,8 +31,32 @@ def _want(least=0):
 def test_round_trip(spark, tmp_path, split, least):
     pages = spark.createDataFrame([(*p, "clash", 1) for p in PAGES], "page_id long, url string, html string, sha string, row int").repartition(3)
     got = warc.round_trip(pages, f"file://{tmp_path}/w", least, split)
-    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == _want(least)
-    assert got.filter("not valid").count() == 0
+    assert sorted(map(tuple, got.collect()), key=str) == _want(least)
+
+
+def test_ranges_are_dealt_to_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "".join(random.Random(i).choices("abcdefgh <>", k=4000))) for i in range(60)], "page_id long, url string, html string")
+    files = warc.write_archives(pages.repartition(1), f"file://{tmp_path}/w")
+    got = warc.read_archives(files, split_bytes=5000)
+    assert got.select(F.spark_partition_id()).distinct().count() > 4 and got.count() == 60
+
+
+def test_repeated_ids(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "v", "x"), (1, "w", "y"), (2, "u", "x")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_a_lost_or_damaged_record_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").repartition(1)
+    files = warc.write_archives(pages, f"file://{tmp_path}/w")
+    warc.check_records(files, warc.read_archives(files))
+    archive = next((tmp_path / "w/archives").iterdir())
+    data = bytearray(archive.read_bytes())
+    data[40:50] = bytes(10)
+    archive.write_bytes(bytes(data))
+    with pytest.raises(ValueError, match="20 records were written"):
+        warc.check_records(files, warc.read_archives(files))
 
 
 def test_no_pages(spark, tmp_path):

@@ -10,27 +10,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import filing_text as ft
+from palimpsest.functions.batches import sized_slices
 from palimpsest.functions.words import word_count
 
 PARSED = "cik long, accession string, full string, item1a string, item7 string, error string"
 
 
+def _parsed(raw: bytes | None) -> tuple[str | None, str | None, str | None, str]:
+    """full, item1a, item7, error of one filing; a bad one is a row with its error."""
+    try:
+        out = ft.parsed(gzip.decompress(raw) if raw is not None and raw[:2] == b"\x1f\x8b" else raw)
+        return out["full"], out["item1a"], out["item7"], ""
+    except Exception as bad:  # recorded, so that one filing doesn't stop the rest
+        return None, None, None, f"{type(bad).__name__}: {bad}"[: ft.MAX_ERROR]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parses one filing after the other; a bad one becomes a row with its error."""
     for batch in batches:
-        for i in range(len(batch)):
-            raw = batch.column("content")[i].as_py()
-            out, error = dict.fromkeys(("full", "item1a", "item7")), ""
-            try:
-                if raw is not None and raw[:2] == b"\x1f\x8b":
-                    raw = gzip.decompress(raw)
-                out = ft.parsed(raw)
-            except Exception as bad:  # recorded, so that one filing doesn't stop the rest
-                error = f"{type(bad).__name__}: {bad}"[: ft.MAX_ERROR]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cik")[i : i + 1], batch.column("accession")[i : i + 1], *(pa.array([x], pa.string()) for x in (out["full"], out["item1a"], out["item7"], error))],
-                ["cik", "accession", "full", "item1a", "item7", "error"],
-            )
+        for first, raws in sized_slices(batch.column("content")):
+            rows = [_parsed(raw) for raw in raws]
+            keys = [batch.column(c)[first : first + len(rows)] for c in ("cik", "accession")]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], [c.split()[0] for c in PARSED.split(", ")])
 
 
 def parse_filings(raw: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from palimpsest.functions.batches import sized_slices
 from palimpsest.functions.filing_text import passages
 from palimpsest.schemas import PASSAGES
 
@@ -23,10 +25,12 @@ def split_passages(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for accession, section, text in zip(*(batch.column(c).to_pylist() for c in ("accession", "section", "text")), strict=True):
-                found = passages(text or "")
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array([accession] * n, pa.string()), pa.array([section] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([len(p.split()) for p in found], pa.int32()), pa.array(found, pa.string())], ["accession", "section", "passage_no", "words", "passage"])
+            for first, texts in sized_slices(batch.column("text")):
+                found = [passages(t or "") for t in texts]
+                of = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found]))
+                each = [p for f in found for p in f]
+                cols = [batch.column("accession").take(of), batch.column("section").take(of), pa.array([i for f in found for i in range(len(f))], pa.int32()), pa.array([p.count(" ") + 1 for p in each], pa.int32()), pa.array(each, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["accession", "section", "passage_no", "words", "passage"])
 
     return texts.select("accession", "section", "text").mapInArrow(run, PASSAGES)
 
@@ -58,20 +62,33 @@ def embed(pieces: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_
     return pieces.select("accession", "section", "passage_no", "words", "passage").mapInArrow(run, PASSAGES + ", embedding array<float>")
 
 
-def dot(a: str, b: str) -> Column:
-    wide = lambda c: F.col(c).cast("array<double>")
-    return F.aggregate(F.zip_with(wide(a), wide(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _vectors(column: pa.Array) -> np.ndarray:
+    """An array column of equally long vectors as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best_of_pair(now: pa.Table, before: pa.Table) -> pa.Table:
+    if not len(now) or not len(before):
+        return now.drop_columns(["embedding"]).slice(0, 0).append_column("match_score", pa.array([], pa.float64()))
+    other = _vectors(before.column("other").combine_chunks())
+    mine = _vectors(now.column("embedding").combine_chunks())
+    best = np.concatenate([(mine[a : a + 1024] @ other.T).max(axis=1) for a in range(0, len(mine), 1024)])
+    return now.drop_columns(["embedding"]).append_column("match_score", pa.array(best))
 
 
 def best_match(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     """Each passage of `now` (keys, passage_no, words, embedding) with its best cosine among
-    the passages of `before` (keys, embedding) under the same keys.
+    the passages of `before` (keys, embedding) under the same keys; without any there it has
+    no row.
 
-    The keys name a pair of editions, so both sides of a key are of one document's length.
+    The keys name a pair of editions, so both sides of a key are of one document's length;
+    a pair is one matrix product, and no row a pair of passages is made.
     """
-    other = before.select(*keys, F.col("embedding").alias("other"))
-    scored = now.join(other, keys).withColumn("score", dot("embedding", "other"))
-    return scored.groupBy(*keys, "passage_no", "words").agg(F.max("score").alias("match_score"))
+    now = now.select(*keys, "passage_no", "words", "embedding")
+    named = [f"of_{k}" for k in keys]  # both sides may come from one table
+    other = before.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col("embedding").alias("other"))
+    schema = StructType([*now.drop("embedding").schema.fields, StructField("match_score", DoubleType())])
+    return now.groupBy(*keys).cogroup(other.groupBy(*named)).applyInArrow(_best_of_pair, schema)
 
 
 def semantic_scores(best: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,21 +38,30 @@ def term_frequencies(texts: DataFrame) -> DataFrame:
     return exploded.groupBy("accession", "section", "term").agg(F.count("*").alias("tf"))
 
 
-def cosine_jaccard(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """(accession, section, cosine, jaccard) of pairs, for the sections both sides have.
-
-    Both measures come from one join of the two bags on term.  A pair of non-empty bags
-    without a common term scores 0; with an empty side it has no row.
+def cosine_jaccard(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(accession, section, cosine, jaccard, words, prev_words) of pairs, for the sections
+    (accession, section, text) that at least one side has a token in.
+
+    A text is sent to the one or two pairs it belongs to and tokenised there; words of both
+    sides are counted by (pair, section, term), combined before the one shuffle of terms,
+    and every measure is a sum over that.  A pair of non-empty bags without a common term
+    scores 0; with an empty side both measures are null.
     """
-    sums = bags.groupBy("accession", "section").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm"), F.count("*").alias("terms"))
-    keys = pairs.select("accession", "prev_accession")
-    now = bags.join(keys, "accession")
-    before = bags.select(F.col("accession").alias("prev_accession"), "section", "term", F.col("tf").alias("prev_tf"))
-    dots = now.join(before, ["prev_accession", "section", "term"]).groupBy("accession", "section").agg(F.sum(F.col("tf") * F.col("prev_tf")).alias("dot"), F.count("*").alias("common"))
-    prev_sums = sums.select(F.col("accession").alias("prev_accession"), "section", F.col("norm").alias("prev_norm"), F.col("terms").alias("prev_terms"))
-    out = keys.join(sums, "accession").join(prev_sums, ["prev_accession", "section"]).join(dots, ["accession", "section"], "left")
-    dot, common = F.coalesce("dot", F.lit(0)), F.coalesce("common", F.lit(0))
-    return out.select("accession", "section", (dot / (F.sqrt("norm") * F.sqrt("prev_norm"))).alias("cosine"), (common / (F.col("terms") + F.col("prev_terms") - common)).alias("jaccard"))
+    role = lambda of, prev: F.struct(F.col(of).alias("of"), F.lit(prev).alias("prev"), F.col("accession"))
+    roles = pairs.select(F.inline(F.array(role("accession", 0), role("prev_accession", 1))))
+    told = texts.select(F.col("accession").alias("of"), "section", "text").join(roles, "of")
+    terms = told.select("accession", "section", "prev", F.explode(tokens(F.col("text"))).alias("term"))
+    bags = terms.groupBy("accession", "section", "term").agg(F.count_if(F.col("prev") == 0).alias("a"), F.count_if(F.col("prev") == 1).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    sums = bags.groupBy("accession", "section").agg(
+        F.sum(a * b).alias("dot"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a).alias("words"), F.sum(b).alias("prev_words"),
+        F.count_if((a > 0) & (b > 0)).alias("common"), F.count("*").alias("either"),
+    )
+    both = (F.col("words") > 0) & (F.col("prev_words") > 0)
+    return sums.select(
+        "accession", "section", F.when(both, F.col("dot") / (F.sqrt("aa") * F.sqrt("bb"))).alias("cosine"),
+        F.when(both, F.col("common") / F.col("either")).alias("jaccard"), "words", "prev_words",
+    )
 
 
 def edit(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -83,16 +92,12 @@ def similarity_panel(index: DataFrame, qa: DataFrame, texts: DataFrame, with_edi
     good = qa.filter(F.coalesce("error", F.lit("")) == "")
     pairs = consecutive_pairs(index.join(good.select("accession"), "accession", "left_semi"))
     usable = gated(texts, good)
-    sized = usable.select("accession", "section", F.size(tokens(F.col("text"))).cast("long").alias("words"))
-    measures = cosine_jaccard(pairs, term_frequencies(usable))
+    measures = cosine_jaccard(pairs, usable)
     if with_edit:
         measures = measures.join(edit(pairs, usable), ["accession", "section"], "left")
-    names = [c for c in measures.columns if c not in ("accession", "section")]
-    wide = measures.groupBy("accession").pivot("section", list(SECTIONS)).agg(*[F.max(m).alias(m) for m in names])
-    words = sized.groupBy("accession").pivot("section", list(SECTIONS)).agg(F.max("words"))
-    words = words.select("accession", *[F.col(s).alias(f"{s}_words") for s in SECTIONS])
-    prev = words.select(F.col("accession").alias("prev_accession"), *[F.col(f"{s}_words").alias(f"{s}_prev_words") for s in SECTIONS])
-    out = pairs.join(words, "accession", "left").join(prev, "prev_accession", "left").join(wide, "accession", "left")
+    names = [c for c in measures.columns if c not in ("accession", "section", "words", "prev_words")]
+    wide = measures.groupBy("accession").pivot("section", list(SECTIONS)).agg(*[F.max(m).alias(m) for m in (*names, "words", "prev_words")])
+    out = pairs.join(wide, "accession", "left")
     counts = [F.coalesce(f"{s}_{w}", F.lit(0)).alias(f"{s}_{w}") for s in SECTIONS for w in ("words", "prev_words")]
     return out.select("cik", "ticker", "accession", "prev_accession", "filing_date", "report_date", "prev_filing_date", *counts, *[f"{s}_{m}" for s in SECTIONS for m in names])
 

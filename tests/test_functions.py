@@ -56,7 +56,7 @@ PAGE = b"""<?xml version="1.0" encoding="utf-8"?><html><head><title>gone</title>
 <table><tr><td>2024</td><td>99.5</td><td>USD</td></tr></table>
 <p>A paragraph that
 wraps&nbsp;here</p><p>17</p><pre>kept
-apart</pre><p>Item <b>1A</b>. Risk Factors<p>""" + b"<p>".join(b"Risk sentence number %d about matters." % i for i in range(40)) + b"<p>Item 1B. Unresolved</p><p>Item 7. Management's Discussion</p><p>Revenue discussion sentence 0</p><p>Item 8. Statements</p></body></html>"
+apart</pre><p>Item <b>1A</b>. Risk Factors<p>""" + b"<p>".join(b"Peril %d may hurt us." % i for i in range(40)) + b"<p>Item 1B. Unresolved</p><p>Item 7. Management's Discussion</p><p>Sales went up by a fifth</p><p>Item 8. Statements</p></body></html>"
 
 
 def test_html_filing():
@@ -66,8 +66,8 @@ def test_html_filing():
     assert "Prose in a cell and another" in lines
     for gone in ("hidden", "1,234", "99.5", "gone", "17"):
         assert all(gone != x and (gone == "17" or gone not in x.split()) for x in lines), gone
-    assert out["item1a"].startswith("Risk sentence number 0") and out["item1a"].endswith("number 39 about matters.")
-    assert out["item7"] == "Revenue discussion sentence 0"
+    assert out["item1a"].startswith("Peril 0 may") and out["item1a"].endswith("Peril 39 may hurt us.")
+    assert out["item7"] == "Sales went up by a fifth"
 
 
 def test_headings_and_sections():
@@ -91,6 +91,36 @@ def test_passages():
     assert all(8 <= len(p.split()) <= 180 for p in got) and sum(len(p.split()) for p in got) == 630
 
 
+def _passages_by_steps(text, target=120, most=180, least=8):
+    """Passages as a state machine over lines."""
+    out, open_ = [], []
+    for line in text.split("\n"):
+        words = line.split()
+        if len(words) > most:
+            out.append(open_)
+            open_ = []
+        while len(words) > most:
+            out.append(words[:most])
+            words = words[most:]
+        if len(open_) + len(words) > most:
+            out.append(open_)
+            open_ = []
+        open_ = open_ + words
+        if len(open_) >= target:
+            out.append(open_)
+            open_ = []
+    return [" ".join(p) for p in [*out, open_] if len(p) >= least]
+
+
+def test_passages_equal_the_steps():
+    rng = random.Random(2)
+    for _ in range(400):
+        sizes = [rng.choice((0, 1, 5, 60, 119, 120, 179, 180, 181, 359, 360, 361, 500, rng.randint(0, 400))) for _ in range(rng.randint(0, 12))]
+        n = iter(range(10**6))
+        text = "\n".join(" ".join(f"w{next(n)}" for _ in range(k)) for k in sizes)
+        assert ft.passages(text) == _passages_by_steps(text), sizes
+
+
 def test_hac_against_sums():
     rng = np.random.default_rng(1)
     x, e = rng.normal(size=(240, 2)), rng.normal(size=240)

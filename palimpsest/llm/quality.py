@@ -1,11 +1,14 @@
 """Quality rules on documents and on hosts, in DataFrame functions only.
 
 Rules look at one text: too few words, repeated five-word windows (the base rules), many
-symbols, repeated lines.  Failures of each rule are then aggregated by host (the source
-column), each host's failure rate is shrunk with a beta prior fitted to all hosts by
-moments, and a host whose shrunk rate exceeds `host_limit` for any rule is rejected with
-all its documents.  The host table is joined back to the documents.  Aggregation by host
-combines before it shuffles, so a host with a third of all rows is no hot task.
+symbols, repeated lines.  Failures of each rule, and of any of them, are then aggregated by
+host (the source column), each host's failure rate is shrunk with a beta prior fitted to
+all hosts by moments, and a host is rejected with all its documents if that rate is sure
+(to 95 %, by the posterior's spread) to exceed `host_limit` for one rule or `any_limit` for
+any of the rules, so a few documents condemn no host.  Host verdicts are joined back to the
+documents.  Aggregation by host combines before it shuffles, so a host with a third of all
+rows is no hot task; back to the documents go the rejected hosts only, broadcast where
+their number is under `BROADCAST_HOSTS`, else with the host split by salts.
 
 Defined results: a null or empty text has no words and fails; a null source is a host of
 its own (shared with the empty string); if all hosts have one rate, or there is one host,
@@ -25,6 +28,11 @@ WINDOW = 5
 LEAST_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, LINE_PERCENT = 10, 20, 50, 50
 STRONGEST = 1e6
 RULES = ("short", "repeats", "symbols", "lines")
+RATES = (*RULES, "any")
+#: A host's shrunk rate of one rule's failures, and of any rule's, above which it is rejected; so many deviations above.
+HOST_LIMIT, ANY_LIMIT, SURE = 0.3, 0.5, 1.645
+#: Up to so many rejected hosts are broadcast (a host name is a few dozen bytes); beyond, so many salts split a host.
+BROADCAST_HOSTS, SALTS = 200_000, 64
 Q = "_pq_quality"
 
 
@@ -70,6 +78,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "symbols": 100 * q["n_symbols"] > SYMBOL_PERCENT * q["n_words"],
         "lines": 100 * q["n_dup_lines"] > LINE_PERCENT * q["n_lines"],
     }
+    fails["any"] = fails["short"] | fails["repeats"] | fails["symbols"] | fails["lines"]
     return df.withColumn(Q, F.struct(F.col(f"{Q}.*"), *(v.alias(k) for k, v in fails.items())))
 
 
@@ -77,43 +86,51 @@ def host_of(column: str = "source") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def host_verdicts(judged: DataFrame, host_limit: float) -> DataFrame:
-    """Per host: host, n, rejected, and the shrunk rate of each rule."""
-    counts = judged.groupBy(host_of().alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.col(f"{Q}.{r}").cast("long")).alias(r) for r in RULES))
-    moments = counts.agg(*(f(F.col(r) / F.col("n")).alias(f"{r}_{m}") for r in RULES for m, f in (("mean", F.avg), ("var", F.var_samp))))
+def host_verdicts(judged: DataFrame, host_limit: float = HOST_LIMIT, any_limit: float = ANY_LIMIT) -> DataFrame:
+    """Per host: host, n, rejected, and the shrunk rate of each rule and of any."""
+    counts = judged.groupBy(host_of().alias("host")).agg(F.count("*").alias("n"), *(F.sum(F.col(f"{Q}.{r}").cast("long")).alias(r) for r in RATES))
+    moments = counts.agg(*(f(F.col(r) / F.col("n")).alias(f"{r}_{m}") for r in RATES for m, f in (("mean", F.avg), ("var", F.var_samp))))
     hosts = counts.withColumn("one", F.lit(1)).join(F.broadcast(moments.withColumn("one", F.lit(1))), "one")  # a single row
-    rates = {}
-    for r in RULES:
+    rates, least = {}, {}
+    for r in RATES:
         mean, var = F.col(f"{r}_mean"), F.col(f"{r}_var")
         fitted = F.least(F.greatest(F.try_divide(mean * (1 - mean), var) - 1, F.lit(1.0)), F.lit(STRONGEST))
         strength = F.coalesce(fitted, F.lit(STRONGEST))
-        rates[r] = (F.col(r) + mean * strength) / (F.col("n") + strength)
+        rates[r] = rate = (F.col(r) + mean * strength) / (F.col("n") + strength)
+        least[r] = rate - SURE * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (F.col("n") + strength + 1))
     rejected = F.lit(False)
-    for rate in rates.values():
-        rejected = rejected | (rate > host_limit)
+    for r in RATES:
+        rejected = rejected | (least[r] > (any_limit if r == "any" else host_limit))
     return hosts.select("host", "n", rejected.alias("rejected"), *(rate.alias(f"{r}_rate") for r, rate in rates.items()))
 
 
-def _judged(docs: DataFrame, columns: list[str], host_limit: float) -> DataFrame:
+def _judged(docs: DataFrame, columns: list[str], host_limit: float, any_limit: float) -> DataFrame:
     """columns of docs with the counts and both verdicts.  Measures once: what two
     later steps need is written, then read back."""
-    judged = saved(measured(docs).select(*columns, Q), shared_dir(docs.sparkSession), "judged")
-    hosts = host_verdicts(judged, host_limit).select(F.col("host").alias("_pq_host"), F.col("rejected").alias("_pq_rejected"))
+    folder = shared_dir(docs.sparkSession)
+    judged = saved(measured(docs).select(*columns, Q), folder, "judged")
+    gone = host_verdicts(judged, host_limit, any_limit).filter("rejected").select(F.col("host").alias("_pq_host"), F.lit(True).alias("_pq_rejected"))
+    gone = saved(gone, folder, "rejected")
     out = judged.withColumn("_pq_base_failed", F.col(f"{Q}.short") | F.col(f"{Q}.repeats"))
-    out = out.join(hosts, host_of() == F.col("_pq_host"), "left")
-    return out.withColumn("_pq_kept", ~F.col("_pq_base_failed") & ~F.coalesce("_pq_rejected", F.lit(False)))
+    if gone.count() <= BROADCAST_HOSTS:
+        out = out.join(F.broadcast(gone), host_of() == F.col("_pq_host"), "left")
+    else:
+        gone = gone.withColumn("_pq_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = (F.monotonically_increasing_id() % SALTS).cast("int")
+        out = out.withColumn("_pq_of", salt).join(gone, (host_of() == F.col("_pq_host")) & (F.col("_pq_of") == F.col("_pq_salt")), "left")
+    return out.withColumn("_pq_kept", ~F.col("_pq_base_failed") & F.col("_pq_rejected").isNull())
 
 
-def quality_report(docs: DataFrame, host_limit: float = 0.8) -> DataFrame:
+def quality_report(docs: DataFrame, host_limit: float = HOST_LIMIT, any_limit: float = ANY_LIMIT) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    judged = _judged(docs, ["doc_id", "source"], host_limit)
+    judged = _judged(docs, ["doc_id", "source"], host_limit, any_limit)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *(F.col(f"{Q}.{c}").alias(c) for c in counts), F.col("_pq_base_failed").alias("base_failed"), F.col("_pq_kept").alias("kept"))
 
 
-def only_kept(docs: DataFrame, host_limit: float = 0.8) -> DataFrame:
+def only_kept(docs: DataFrame, host_limit: float = HOST_LIMIT, any_limit: float = ANY_LIMIT) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    return _judged(docs, docs.columns, host_limit).filter("_pq_kept").select(*docs.columns)
+    return _judged(docs, docs.columns, host_limit, any_limit).filter("_pq_kept").select(*docs.columns)
 
 
 #: The same in DuckDB SQL, for documents with distinct ids.
@@ -147,17 +164,19 @@ WITH w AS (
   FROM q
 ), h AS (
   SELECT host, count(*) AS n, avg(CAST(short AS INT)) AS r1, avg(CAST(repeats AS INT)) AS r2,
-         avg(CAST(symbols AS INT)) AS r3, avg(CAST(lines AS INT)) AS r4
+         avg(CAST(symbols AS INT)) AS r3, avg(CAST(lines AS INT)) AS r4, avg(CAST(short OR repeats OR symbols OR lines AS INT)) AS r5
   FROM f GROUP BY host
 ), rates AS (
-  SELECT host, n, unnest([r1, r2, r3, r4]) AS rate, unnest([1, 2, 3, 4]) AS rule FROM h
+  SELECT host, n, unnest([r1, r2, r3, r4, r5]) AS rate, unnest([1, 2, 3, 4, 5]) AS rule FROM h
 ), prior AS (
   SELECT rule, avg(rate) AS m,
          coalesce(least(greatest(avg(rate) * (1 - avg(rate)) / nullif(var_samp(rate), 0) - 1, 1), 1e6), 1e6) AS strength
   FROM rates GROUP BY rule
+), shrunk AS (
+  SELECT host, rule, n + strength + 1 AS weight, (rate * n + m * strength) / (n + strength) AS rate FROM rates JOIN prior USING (rule)
 ), verdict AS (
-  SELECT host, bool_or((rate * n + m * strength) / (n + strength) > 0.8) AS rejected
-  FROM rates JOIN prior USING (rule) GROUP BY host
+  SELECT host, bool_or(rate - 1.645 * sqrt(greatest(rate * (1 - rate), 0) / weight) > CASE WHEN rule = 5 THEN 0.5 ELSE 0.3 END) AS rejected
+  FROM shrunk GROUP BY host
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (short OR repeats) AS base_failed, NOT (short OR repeats) AND NOT rejected AS kept

@@ -35,6 +35,11 @@ def monthly_returns(closes: DataFrame) -> DataFrame:
     return out.select("date", "ticker", (F.col("close") / F.col("prev.close") - 1).alias("ret"))
 
 
+def missing_tickers(universe: DataFrame, returns: DataFrame) -> DataFrame:
+    """Tickers of the universe (ticker) that have no return, each once."""
+    return universe.select("ticker").distinct().join(returns.select("ticker").distinct(), "ticker", "left_anti")
+
+
 def returns_wide(returns: DataFrame) -> DataFrame:
     """(ticker, year, M1..M12): every return of the long table (date, ticker, ret).
 
@@ -76,7 +81,7 @@ def factor_block(files: DataFrame) -> DataFrame:
     body = F.explode(F.slice("lines", F.col("first").cast("int"), F.col("n").cast("int")))
     rows = block.select("name", header.alias("header"), body.alias("line"))
     rows = rows.select("name", "header", F.transform(F.split("line", ","), lambda x: F.trim(x)).alias("parts"))
-    cells = rows.select("name", F.get("parts", F.lit(0)).alias("yyyymm"), F.posexplode(F.slice("header", 2, 1000)).alias("i", "factor"), "parts")
+    cells = rows.select("name", F.get("parts", F.lit(0)).alias("yyyymm"), F.posexplode(F.slice("header", F.lit(2), F.size("header"))).alias("i", "factor"), "parts")
     value = F.get("parts", F.col("i") + 1).try_cast("double")
     return cells.filter("factor <> ''").select("name", "yyyymm", "factor", (F.when(value > MISSING_AT, value) / 100).alias("value"))
 

@@ -138,6 +138,14 @@ def factor_regression(df: DataFrame, factors: DataFrame, models: dict = MODELS,
     return rows.groupBy(*KEY).applyInPandas(_regress(models, lags), ATTRIBUTION)
 
 
+def describe(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row a column: measure, count, mean, std, min, p25, p50, p75, max; nulls don't count,
+    quartiles are exact and interpolated."""
+    long = panel.unpivot([], list(columns), "measure", "value").dropna(subset=["value"])
+    quartiles = [F.percentile("value", q / 100).alias(f"p{q}") for q in (25, 50, 75)]
+    return long.groupBy("measure").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *quartiles, F.max("value").alias("max"))
+
+
 def label(name: Column) -> Column:
     """'item1a_cosine' -> 'item1a (cosine)'."""
     parts = F.split(name, "_", 2)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -62,6 +63,33 @@ def embed(pieces: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_
     return pieces.select("accession", "section", "passage_no", "words", "passage").mapInArrow(run, PASSAGES + ", embedding array<float>")
 
 
+def cached_embeddings(pieces: DataFrame, cache: str, encode: Callable[[list[str]], np.ndarray] = hashed_words) -> DataFrame:
+    """embed(), but passages of sections that the cache folder has are taken from it.
+
+    The cache is keyed by (accession, section) and counts if it has as many passages as the
+    section has now; sections it lacks are encoded, appended in one generation more, and
+    the youngest generation of a section is read.
+    """
+    spark, keys = pieces.sparkSession, ["accession", "section"]
+    schema = PASSAGES + ", embedding array<float>, generation int"
+
+    def stored() -> DataFrame:
+        try:
+            rows = spark.read.schema(schema).parquet(cache)
+        except AnalysisException as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            rows = spark.createDataFrame([], schema)
+        last = rows.groupBy(*keys).agg(F.max("generation").alias("generation"))
+        return rows.join(last, [*keys, "generation"], "left_semi")
+
+    there, now = (df.groupBy(*keys).agg(F.count("*").alias("n")) for df in (stored(), pieces))
+    fresh = pieces.join(now.join(there, [*keys, "n"], "left_anti"), keys, "left_semi")
+    generation = stored().agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0] + 1
+    embed(fresh, encode).withColumn("generation", F.lit(generation)).write.mode("append").parquet(cache, compression="zstd")
+    return stored().join(now.select(*keys), keys, "left_semi").drop("generation")
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     """An array column of equally long vectors as a matrix of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -104,17 +132,18 @@ def top_changes(best: DataFrame, keys: list[str], k: int = TOP_CHANGES) -> DataF
     return best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
-def semantic_panel(panel: DataFrame, texts: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_words, sections: tuple[str, ...] = ("item1a", "item7")) -> tuple[DataFrame, DataFrame]:
+def semantic_panel(panel: DataFrame, texts: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_words, sections: tuple[str, ...] = ("item1a", "item7"), cache: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(scores, changes) of the pairs of a similarity panel.
 
     scores: accession, section, semantic, novel_share - only where the section's cosine is
     known; a table of its own, joined to the panel when needed.  changes: the passages
-    behind them, cut to 700 characters.
+    behind them, cut to 700 characters.  cache: a folder for cached_embeddings().
     """
     keys = ["accession", "section"]
     rated = panel.select("cik", "ticker", "accession", "prev_accession", "filing_date", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"{s}_cosine").alias("cosine")) for s in sections])).alias("s"))
     rated = rated.filter("s.cosine is not null").select("cik", "ticker", "accession", "prev_accession", "filing_date", F.col("s.section").alias("section"))
-    vectors = embed(split_passages(texts.filter(F.col("section").isin(*sections))), encode)
+    pieces = split_passages(texts.filter(F.col("section").isin(*sections)))
+    vectors = cached_embeddings(pieces, cache, encode) if cache else embed(pieces, encode)
     now = vectors.join(rated.select("accession", "section"), keys, "left_semi")
     before = vectors.withColumnRenamed("accession", "prev_accession").join(rated.select("accession", "prev_accession", "section"), ["prev_accession", "section"])
     best = best_match(now, before, keys)

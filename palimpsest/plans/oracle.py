@@ -174,6 +174,34 @@ _CAPM = f"""SELECT signal, sample, series, n AS months, {_r(['alpha_monthly_bps'
                     FROM series s JOIN factors USING (date) WHERE hold = 12 WINDOW w AS (PARTITION BY signal, sample, series))))
   GROUP BY ALL HAVING count(*) >= 9)"""
 
+
+def _orthogonal(names: tuple[str, ...]) -> str:
+    """Residuals of the return (y) and of the constant (c) on these factors, one factor
+    after the other, each cleared of those before it."""
+    w = "OVER (PARTITION BY signal, sample, series)"
+    sql = f"SELECT signal, sample, series, date, ret, ret AS y, CAST(1 AS DOUBLE) AS c, {', '.join(names)} FROM series JOIN factors USING (date) WHERE hold = 12"
+    for i, f in enumerate(names):
+        rest = ["y", "c", *names[i + 1 :]]
+        sql = f"SELECT signal, sample, series, date, ret, {', '.join(f'{x} - {f} * (sum({x} * {f}) {w}) / (sum({f} * {f}) {w}) AS {x}' for x in rest)} FROM ({sql})"
+    return sql
+
+
+def _model(name: str, names: tuple[str, ...]) -> str:
+    w = "OVER (PARTITION BY signal, sample, series)"
+    enough = f"count(*) >= {len(names) + 8}"
+    return f"""SELECT signal, sample, series, '{name}' AS model, count(*) AS months,
+         CASE WHEN {enough} THEN round(max(alpha) * 1e4, 6) + 0.0 END AS alpha_monthly_bps,
+         CASE WHEN {enough} THEN round(max(alpha) / sqrt(sum(u * u) + 2 * ({_lags('u * u{k}')})), 6) + 0.0 END AS alpha_t,
+         CASE WHEN {enough} THEN round(1 - sum(e * e) / (var_pop(ret) * count(*)), 6) + 0.0 END AS r2
+  FROM (SELECT *, {', '.join(f'lag(u, {k}) OVER (PARTITION BY signal, sample, series ORDER BY date) AS u{k}' for k in range(1, 7))}
+        FROM (SELECT *, (y - alpha * c) AS e, c / cc * (y - alpha * c) AS u
+              FROM (SELECT *, sum(y * c) {w} / sum(c * c) {w} AS alpha, sum(c * c) {w} AS cc FROM ({_orthogonal(names)}))))
+  GROUP BY ALL"""
+
+
+_MODELS = {"FF3": ("MKT_RF", "SMB", "HML"), "FF5": ("MKT_RF", "SMB", "HML", "RMW", "CMA"), "FF5+MOM": ("MKT_RF", "SMB", "HML", "RMW", "CMA", "MOM")}
+_MEASURES = [f"{s}_{m}" for s in ("full", "item1a", "item7") for m in ("cosine", "jaccard")]
+
 #: Without VIEWS in front.
 BODIES: dict[str, str] = {
     "universe_dedup": f"SELECT cik, ticker, name, sector, replace(ticker, '.', '-') AS yahoo_ticker FROM (SELECT s_suppkey % 7 AS cik, 'S.' || s_suppkey AS ticker, s_name AS name, n_name AS sector, row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_suppkey) AS rn FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE rn = 1",
@@ -220,4 +248,93 @@ BODIES: dict[str, str] = {
     "normalize_lines": r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:-?\s*\d{1,3}\s*-?|page\s+\d{1,3}(?:\s+of\s+\d+)?|table\s+of\s+contents)$', 'i')), chr(10)) AS lines FROM documents""",
 }
 
+#: Fixed pattern: page furniture.
+_NOISE = r"^(?:-?\s*\d{1,3}\s*-?|page\s+\d{1,3}(?:\s+of\s+\d+)?|table\s+of\s+contents)$"
+
+
+def _clean_lines(text: str) -> str:
+    """List of the trimmed, single-spaced lines of a text, less empty ones and page furniture."""
+    return rf"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\f\v]+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_matches(x, '{_NOISE}', 'i'))"
+
+
+_BLOCKS = "p|div|br|tr|li|h1|h2|h3|h4|h5|h6|table|ul|ol|blockquote|pre|hr|section|article|title|center|dd|dt|caption"
+_TAGLESS = rf"""regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(head|script|style|noscript)\b.*?</(head|script|style|noscript)\s*>', '', 'gis'), chr(10), ' '), '</?({_BLOCKS})\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'g')"""
+_ENTITIES = ("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")
+
+
+def _unescaped(text: str) -> str:
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+#: As BODIES, VIEWS in front.
+BODIES_2 = {
+    "factor_models": " UNION ALL ".join(_model(name, names) for name, names in _MODELS.items()),
+    "similarity_describe": f"SELECT measure, count(value) AS count, {', '.join(f'round({f}, 6) + 0.0 AS {n}' for n, f in (('mean', 'avg(value)'), ('std', 'stddev_samp(value)'), ('min', 'min(value)'), ('p25', 'quantile_cont(value, 0.25)'), ('p50', 'quantile_cont(value, 0.5)'), ('p75', 'quantile_cont(value, 0.75)'), ('max', 'max(value)')))} FROM (SELECT unnest([{', '.join(map(repr, _MEASURES))}]) AS measure, unnest([{', '.join(_MEASURES)}]) AS value FROM panel) WHERE value IS NOT NULL GROUP BY measure",
+    "missing_tickers": "SELECT DISTINCT 'T' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS ticker FROM customer WHERE 'T' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') NOT IN (SELECT ticker FROM returns)",
+    "meta_months": BODIES["meta_row"] + ", (SELECT coalesce(concat_ws(' to ', CAST(min(date) AS VARCHAR), CAST(max(date) AS VARCHAR)), '') FROM nets WHERE hold = 12 AND signal = 'full_cosine') AS return_months",
+}
+
+#: Standing alone, with names of their own in front.
+WHOLE_SQL = {
+    "html_to_text": f"SELECT page_id, array_to_string({_clean_lines(_unescaped(_TAGLESS))}, chr(10)) AS text, '' AS error FROM pages",
+    "split_passages": r"""WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), worded AS (
+  SELECT doc_id, i, regexp_extract_all(line, '[^ 	
+
+]+') AS w FROM lines
+), pieces AS (
+  SELECT doc_id, j < k AS is_full, w[180 * j + 1 : CASE WHEN j < k THEN 180 * j + 180 ELSE len(w) END] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS seq
+  FROM (SELECT *, unnest(range(k + 1)) AS j FROM (SELECT *, CASE WHEN len(w) > 180 THEN (len(w) - 1) // 180 ELSE 0 END AS k FROM worded))
+), fold AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS seq, 0 AS passage, 0 AS open_passage, CAST(0 AS BIGINT) AS held FROM documents
+  UNION ALL
+  SELECT doc_id, seq, passage, passage + CASE WHEN is_full OR new_held >= 120 THEN 1 ELSE 0 END, CASE WHEN is_full OR new_held >= 120 THEN 0 ELSE new_held END
+  FROM (
+    SELECT p.doc_id, p.seq, p.is_full, open_passage + CASE WHEN held > 0 AND (p.is_full OR held + len(p.w) > 180) THEN 1 ELSE 0 END AS passage,
+           CASE WHEN p.is_full THEN 0 WHEN held + len(p.w) > 180 THEN len(p.w) ELSE held + len(p.w) END AS new_held
+    FROM fold f JOIN pieces p ON p.doc_id = f.doc_id AND p.seq = f.seq + 1
+  )
+), passages AS (
+  SELECT doc_id, passage, sum(len(w)) AS n, string_agg(array_to_string(w, ' '), ' ' ORDER BY seq) FILTER (len(w) > 0) AS passage_text
+  FROM fold JOIN pieces USING (doc_id, seq) GROUP BY ALL HAVING sum(len(w)) >= 8
+)
+SELECT CAST(doc_id AS VARCHAR) AS accession, 'full' AS section, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY passage) - 1 AS INTEGER) AS passage_no, CAST(n AS INTEGER) AS words, passage_text AS passage
+FROM passages""",
+    "extract_sections": rf"""WITH made AS (
+  SELECT CAST(doc_id AS VARCHAR) AS accession, concat_ws(chr(10), l[1], 'Item 1A. Risk Factors', array_to_string(l[2:3], chr(10)), 'Item 1B. Comments', l[4], 'ITEM 7 - MANAGEMENT''S DISCUSSION', array_to_string(l[5:], chr(10)), 'Item 8. Statements') AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+), lines AS (
+  SELECT accession, unnest({_clean_lines('text')}) AS line, generate_subscripts({_clean_lines('text')}, 1) AS i FROM made
+), read AS (
+  SELECT *, len(regexp_extract_all(line, '[A-Za-z]{{2,}}')) AS n,
+         CASE WHEN length(line) <= 200 THEN lower(regexp_extract(line, '(?i)^(?:part\s+[iv]{{1,3}}\s*[.,:;\-–—]*\s*)?items?\s*(\d{{1,2}})\s*\(?([abc])?\)?(?:[^a-z0-9].*)?$', 1)
+           || regexp_extract(line, '(?i)^(?:part\s+[iv]{{1,3}}\s*[.,:;\-–—]*\s*)?items?\s*(\d{{1,2}})\s*\(?([abc])?\)?(?:[^a-z0-9].*)?$', 2)) ELSE '' END AS code
+  FROM lines
+), headings AS (
+  SELECT accession, i, code, regexp_replace(lower(regexp_extract(line, '(?i)items?\s*\d{{1,2}}\s*\(?[abc]?\)?((?:[^a-z0-9].*)?)$', 1)), '^(?:\s*(?:and|&|,)\s*\d{{1,2}}[abc]?)*[^a-z0-9]*', '') AS title FROM read WHERE code <> ''
+), rules AS (
+  SELECT * FROM (VALUES ('item1a', '1a', ['1b', '1c', '2', '3'], ['risk']), ('item7', '7', ['7a', '8'], ['management', 'md&a'])) r(name, code, ends, titles)
+), spans AS (
+  SELECT h.accession, r.name, h.i AS first, min(e.i) AS last
+  FROM rules r JOIN headings h ON h.code = r.code AND (h.title = '' OR list_bool_or(list_transform(r.titles, lambda t: starts_with(h.title, t))))
+  JOIN headings e ON e.accession = h.accession AND e.i > h.i AND list_contains(r.ends, e.code) GROUP BY ALL
+), rated AS (
+  SELECT s.*, NOT EXISTS (SELECT 1 FROM headings x, rules r WHERE x.accession = s.accession AND x.i > s.first AND x.i < s.last AND r.name = s.name AND x.code <> r.code) AS clean,
+         (SELECT coalesce(sum(n), 0) FROM read l WHERE l.accession = s.accession AND l.i > s.first AND l.i < s.last) AS words
+  FROM spans s
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY accession, name ORDER BY clean DESC, words DESC, first) AS rn FROM rated
+), texts AS (
+  SELECT b.accession, b.name, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+  FROM best b JOIN read l ON l.accession = b.accession AND l.i > b.first AND l.i < b.last AND l.code = '' WHERE rn = 1 GROUP BY ALL
+)
+SELECT accession, coalesce((SELECT text FROM texts t WHERE t.accession = m.accession AND name = 'item1a'), '') AS item1a,
+       coalesce((SELECT text FROM texts t WHERE t.accession = m.accession AND name = 'item7'), '') AS item7, '' AS error
+FROM made m""",
+}
+
 ORACLE_SQL = {name: (VIEWS + body if name not in ("universe_dedup", "form_filter_index", "filing_url", "token_counts", "term_frequency", "factor_block_parse", "normalize_lines", "consecutive_pairs_orders") else body) for name, body in BODIES.items()}
+ORACLE_SQL |= {name: VIEWS + body for name, body in BODIES_2.items()} | WHOLE_SQL

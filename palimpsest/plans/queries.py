@@ -399,6 +399,40 @@ def signal_labels(v: Views) -> DataFrame:
     return _signals(v).select("signal").distinct().withColumn("label", perf.label(F.col("signal")))
 
 
+@query
+def factor_models(v: Views) -> DataFrame:
+    """The models of several factors on the two signals that SQL can follow."""
+    models = {k: m for k, m in perf.MODELS.items() if len(m) > 1}
+    out = perf.factor_regression(_series(v), v.factors(), models)
+    return rounded(out.select(*perf.KEY, "model", "months", "alpha_monthly_bps", "alpha_t", "r2"))
+
+
+@query
+def similarity_describe(v: Views) -> DataFrame:
+    panel = _panel(v)
+    return rounded(perf.describe(panel, [c for c in panel.columns if c.endswith(("_cosine", "_jaccard"))]))
+
+
+@query
+def missing_tickers(v: Views) -> DataFrame:
+    universe = v.table("customer").select(v.ticker(F.col("c_custkey")).alias("ticker"))
+    return market.missing_tickers(universe, v.returns())
+
+
+@query
+def meta_months(v: Views) -> DataFrame:
+    """meta_row() with the months of the first primary signal's portfolios."""
+    filed = v.filings()
+    out = research.meta(filed, _qa(v), similarity.consecutive_pairs(filed), _portfolios(v))
+    return out.select(F.col("companies_in_universe").alias("companies"), "filings_parsed", "year_over_year_pairs", "first_filing", "last_filing", "return_months")
+
+
+@whole
+def semantic_changes(v: Views) -> DataFrame:
+    """The passages of each pair that changed most."""
+    return rounded(semantic.semantic_panel(_panel(v), v.sections())[1])
+
+
 @whole
 def signals_all(v: Views) -> DataFrame:
     return rounded(_every_signal(v))

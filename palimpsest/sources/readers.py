@@ -63,6 +63,29 @@ def filing_index(spark: SparkSession, submissions: str, extra: str | None, compa
     return market.annual_filings(rows, start_date)
 
 
+def failed_companies(spark: SparkSession, submissions: str, companies: DataFrame) -> DataFrame:
+    """(cik, ticker, reason) of companies (cik, ticker) that filing_index() has nothing to
+    read for: 'missing' without a submission file, 'unreadable' where a file named
+    CIK<number>.json is there but is no JSON of the expected form."""
+    files = spark.read.schema(f"{_SUBMISSION}, _corrupt_record string").json(submissions, multiLine=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    named = F.regexp_extract("file", r"(\d+)[^/]*$", 1).try_cast("long")
+    seen = files.select(F.coalesce(F.col("cik").try_cast("long"), named).alias("cik"), (F.col("_corrupt_record").isNull() & F.col("filings.recent.accessionNumber").isNotNull()).alias("ok"))
+    seen = seen.filter("cik is not null").groupBy("cik").agg(F.bool_or("ok").alias("ok"))
+    joined = companies.select("cik", "ticker").join(seen, "cik", "left")
+    return joined.filter("ok is null or not ok").select("cik", "ticker", F.when(F.col("ok").isNull(), "missing").otherwise("unreadable").alias("reason"))
+
+
+def write_texts(parsed: DataFrame, folder: str) -> None:
+    """Parsed filings as {folder}/part-*.json.gz, one JSON object (accession, full, item1a,
+    item7) a line; those with an error are left out."""
+    parsed.filter("error = ''").select("accession", "full", "item1a", "item7").write.mode("overwrite").json(folder, compression="gzip")
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_texts() wrote."""
+    return spark.read.schema("accession string, full string, item1a string, item7 string").json(folder)
+
+
 def raw_filings(spark: SparkSession, path: str) -> DataFrame:
     """(cik, accession, content) of files laid out as {cik}/{accession}.html.gz."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html.gz").option("recursiveFileLookup", "true").load(path)

@@ -16,7 +16,7 @@ from palimpsest.schemas import SECTIONS
 from palimpsest.sources.views import Views
 from palimpsest.streaming.landing import parse_arrivals
 
-FAST = ["universe_dedup", "form_filter_index", "filing_url", "token_counts", "cosine_pairs", "consecutive_pairs_orders", "qa_summary_by_year", "normalize_lines", "top_changes", "returns_melt", "factor_block_parse", "formation_dates", "quantile_assignment", "turnover_net", "status_counts"]
+FAST = ["universe_dedup", "form_filter_index", "filing_url", "token_counts", "cosine_pairs", "consecutive_pairs_orders", "qa_summary_by_year", "normalize_lines", "top_changes", "returns_melt", "factor_block_parse", "formation_dates", "quantile_assignment", "turnover_net", "status_counts", "html_to_text", "split_passages", "extract_sections", "factor_models", "similarity_describe", "missing_tickers", "meta_months"]
 
 
 def _rows(df: pd.DataFrame) -> list:
@@ -29,8 +29,9 @@ def _rows(df: pd.DataFrame) -> list:
 
 
 def test_catalogue_is_whole():
-    assert set(oracle.BODIES) <= set(QUERIES) and set(QUERIES) <= set(driver.queries())
-    assert set(QUERIES) - set(oracle.BODIES) == {"edit_pairs", "html_to_text", "extract_sections", "split_passages", "semantic_panel", "multifactor_regression"}
+    assert set(oracle.BODIES) <= set(oracle.ORACLE_SQL) <= set(QUERIES) <= set(driver.queries())
+    assert set(QUERIES) - set(oracle.ORACLE_SQL) == {"edit_pairs", "semantic_panel", "multifactor_regression"}
+    assert set(QUERIES) - set(oracle.BODIES) - set(oracle.BODIES_2) == {"edit_pairs", "html_to_text", "extract_sections", "split_passages", "semantic_panel", "multifactor_regression"}
 
 
 @pytest.mark.parametrize("name", FAST)

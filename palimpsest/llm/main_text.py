@@ -32,7 +32,7 @@ from palimpsest.llm.common import as_text
 from palimpsest.llm.dom import FORM, Node, parse
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TRAIN_PAGES, RIDGE = 300, 2.0
+TRAIN_PAGES, RIDGE = 500, 1.0
 
 #: Words in class, id and role that speak against content, by kind, and for it.
 AGAINST = {
@@ -62,6 +62,8 @@ def features(node: Node, words: str) -> list[str]:
                 if part in _KIND:
                     kinds.add(_KIND[part])
         out += [f"name:{k}" for k in kinds]
+        if kinds == {"for"}:
+            out.append("only for, text" if node.chars else "only for")
         if HIDDEN.search(node.names):
             out.append("hidden")
     if node.chars:
@@ -149,14 +151,15 @@ def lesson(seed: int) -> str:
     pick = lambda kind: rng.choice(AGAINST[kind].split())
 
     def box(tag: str, names: str, inner: str, c: int) -> str:
-        return f'<{tag}{f" class={chr(34)}{names}{chr(34)}" if names else ""} data-c="{c}">{inner}</{tag}>'
+        attribute = rng.choice(("class", "class", "class", "id"))
+        return f'<{tag}{f" {attribute}={chr(34)}{names}{chr(34)}" if names else ""} data-c="{c}">{inner}</{tag}>'
 
     def items(n: int, c: int, make) -> str:
         return box(rng.choice(("ul", "ul", "ol")), "", "".join(f'<li data-c="{c}">{make()}{"</li>" if rng.random() < 0.8 else ""}' for _ in range(n)), c)
 
     def menu() -> str:
-        inner = items(rng.randint(3, 8), 0, link) if rng.random() < 0.8 else " | ".join(link() for _ in range(5))
-        return box("nav", rng.choice(("", pick("menu"))), inner, 0) if rng.random() < 0.6 else box("div", pick("menu"), inner, 0)
+        inner = items(rng.randint(3, 8), 0, link) if rng.random() < 0.8 else rng.choice((" | ", " ", "")).join(link() for _ in range(5))
+        return box("nav", rng.choice(("", pick("menu"))), inner, 0) if rng.random() < 0.6 else box("div", rng.choice((pick("menu"), pick("menu"), "")), inner, 0)
 
     def para() -> str:
         inner = say(1, 120) if rng.random() < 0.85 else f"{say(3, 30)} {link()} {say(3, 30)}"
@@ -164,8 +167,15 @@ def lesson(seed: int) -> str:
             inner = f"<b>{inner}<br>"
         return f'<p data-c="1">{inner}{"</p>" if rng.random() < 0.8 else ""}'
 
+    def bare() -> str:
+        """Text that stands in its container without paragraphs."""
+        head = f'<h1 data-c="1">{say(2, 10)}</h1>' if rng.random() < 0.5 else ""
+        return head + rng.choice(("<br>", "<br><br>", " ")).join(say(8, 90) for _ in range(rng.randint(1, 5)))
+
     def content() -> str:
-        out = [f'<h1 data-c="1">{say(2, 10)}</h1>'] if rng.random() < 0.9 else []
+        if rng.random() < 0.15:
+            return bare()
+        out = [f'<h1 data-c="1">{say(2, 10)}</h1>'] if rng.random() < 0.75 else []
         if rng.random() < 0.2:
             out.insert(0, box("header", "", f'<h1 data-c="1">{say(2, 9)}</h1>', 1))
         for _ in range(rng.choice((0, 1, 1, 2, 4, 8, 12))):
@@ -184,6 +194,8 @@ def lesson(seed: int) -> str:
                 out.append(box("pre", "", say(5, 40), 1))
             else:
                 out.append(rng.choice((advert, side, share))())
+        if rng.random() < 0.15:
+            out.append(rng.choice((reader, share, advert, side))())
         return "".join(out)
 
     def advert() -> str:
@@ -219,13 +231,13 @@ def lesson(seed: int) -> str:
     if x < 0.5:
         body = box("article", rng.choice(("", "", "post", "entry")), body, 1)
     elif x < 0.7:
-        body = box(rng.choice(("main", "div", "section")), rng.choice(("content", "post-content", "entry", "article-body", "story")), body, 1)
+        body = box(rng.choice(("main", "div", "div", "section")), rng.choice(("content", "post-content", "entry", "article-body", "story", "main", "body")), body, 1)
     elif x < 0.85:
         body = box("main", "", box(rng.choice(("article", "div", "section")), "", body, 1), 1)
     else:
         body = box("div", "", body, 1)
-    around = [f() for f in rng.sample((menu, advert, side, notice, form, share, head, menu), rng.randint(1, 5))]
-    below = [f() for f in rng.sample((reader, foot, foot, side, advert, reader, notice), rng.randint(1, 3))]
+    around = [f() for f in rng.sample((menu, advert, side, notice, form, share, head, menu), rng.choice((0, 1, 1, 2, 3, 4, 5)))]
+    below = [f() for f in rng.sample((reader, foot, foot, side, advert, reader, notice), rng.choice((0, 1, 1, 2, 3)))]
     page = "".join(around) + body + "".join(below)
     if rng.random() < 0.3:
         page = box("div", rng.choice(("", "page", "wrapper", "container")), page, 1)
@@ -253,7 +265,8 @@ def texts_of(nodes: list[Node], blocks: list[tuple[int, str]]) -> list[str]:
 def trained(pages: int = TRAIN_PAGES) -> Model:
     """Node weights and edge potentials together, by pseudo-likelihood: every variable given
     its neighbours' labels is a logistic regression, solved by Newton steps with a ridge
-    penalty.  Deterministic."""
+    penalty.  Each also counts once without its neighbours, so that node weights stand on
+    their own where a block has few.  Deterministic."""
     rows, labels, ties = [], [], []
     for seed in range(pages):
         nodes, texts, marks = _labelled(lesson(seed))
@@ -270,8 +283,9 @@ def trained(pages: int = TRAIN_PAGES) -> Model:
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, [at[f] for f in r]] = 1
-    x = np.hstack([x, np.array(ties).reshape(len(rows), -1)])
-    y, w = np.array(labels, float), np.zeros(x.shape[1])
+    ties = np.array(ties).reshape(len(rows), -1)
+    x = np.vstack([np.hstack([x, ties]), np.hstack([x, 0 * ties])])  # with its neighbours, and alone
+    y, w = np.array(labels + labels, float), np.zeros(x.shape[1])
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - RIDGE * w

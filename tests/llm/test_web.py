@@ -125,6 +125,38 @@ def test_test_pages_give_the_article(spark, sf):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
 
 
+#: Written by hand: page and main text, in shapes that other sites have.
+SHAPES = {
+    "comments inside the article": ("<html><body><header><a href='/'>Site</a></header><article><h1>Rivers rise</h1><p>After a week of rain the rivers rose by two metres, officials said.</p><p>Schools stay closed on Monday.</p><section id='comments'><h3>3 comments</h3><div class='comment'><p>I saw it from my window, terrible.</p></div><div class='comment'><p>Stay safe everyone!</p></div></section></article><footer>Copyright 2024 Site</footer></body></html>",
+     "Rivers rise\nAfter a week of rain the rivers rose by two metres, officials said.\nSchools stay closed on Monday."),
+    "related box inside the article": ("<body><main><article class='post'><h1>On bread</h1><p>Good bread needs four things: flour, water, salt and time.</p><aside class='related'><h4>Related</h4><ul><li><a href='/1'>On butter</a></li><li><a href='/2'>On jam</a></li></ul></aside><p>Leave the dough in a cool place over night, then bake it hot.</p></article></main></body>",
+     "On bread\nGood bread needs four things: flour, water, salt and time.\nLeave the dough in a cool place over night, then bake it hot."),
+    "text directly in a div": ("<body><div id='nav'><a href='/a'>Home</a> | <a href='/b'>News</a> | <a href='/c'>Contact</a></div><div id='content'>The old mill was built in 1780 and burnt down twice.<br>It was rebuilt by the village each time, stone by stone.</div><div id='footer'>All rights reserved.</div></body>",
+     "The old mill was built in 1780 and burnt down twice. It was rebuilt by the village each time, stone by stone."),
+    "a table in the text": ("<body><nav><ul><li><a href='/'>Start</a></li><li><a href='/x'>Results</a></li></ul></nav><div class='entry-content'><h2>Results of the race</h2><p>Nineteen boats started in a strong westerly wind.</p><table><tr><th>Boat</th><th>Time</th></tr><tr><td>Swift</td><td>3:10</td></tr></table><p>The next race is in May.</p></div><div class='sidebar'><p>Subscribe to our newsletter.</p></div></body>",
+     "Results of the race\nNineteen boats started in a strong westerly wind.\nBoat\nTime\nSwift\n3:10\nThe next race is in May."),
+    "unnamed blocks": ("<body><div><div><a href='/'>Home</a><a href='/n'>News</a><a href='/s'>Sport</a></div><div><h1>A quiet village</h1><p>Nothing has happened here since the bridge fell in 1911, and people like it that way.</p><p>Visitors come for the walks.</p></div><div><a href='/p'>Privacy</a> <a href='/t'>Terms</a></div></div></body>",
+     "A quiet village\nNothing has happened here since the bridge fell in 1911, and people like it that way.\nVisitors come for the walks."),
+    "list and quote": ("<body><div class='cookie-banner'><p>We use cookies to make this site better.</p><button>Accept</button></div><article><header><h1>How to plant garlic</h1></header><ol><li>Break the bulb into cloves.</li><li>Plant them two inches deep.</li></ol><blockquote><p>Garlic is as good as ten mothers.</p></blockquote></article><form><label>Search</label><input></form></body>",
+     "How to plant garlic\nBreak the bulb into cloves.\nPlant them two inches deep.\nGarlic is as good as ten mothers."),
+    "share links and an advert between paragraphs": ("<body><div id='main'><h1>Night trains return</h1><p>From spring on, sleeper trains will run again between the two capitals.</p><div class='ad'>Buy the best shoes today! Click here.</div><p>Tickets are on sale from March.</p><ul class='share'><li><a href='#'>Facebook</a></li><li><a href='#'>Twitter</a></li></ul></div></body>",
+     "Night trains return\nFrom spring on, sleeper trains will run again between the two capitals.\nTickets are on sale from March."),
+    "no content": ("<body><nav><a href='/'>Home</a></nav><footer>Copyright</footer></body>",""),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_other_shapes(shape):
+    page, text = SHAPES[shape]
+    assert main_text.extract(main_text.trained(), page) == text
+
+
+def test_repeated_page_ids(spark):
+    rows = [(1, "u", "<article><p>One text of some length stands here.</p></article>"), (1, "v", None), (None, None, "<article><p>Another text of some length.</p></article>")]
+    got = main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.text) for r in got) == [("1", ""), ("1", "One text of some length stands here."), ("None", "Another text of some length.")]
+
+
 @pytest.mark.parametrize("page", ["", None, "<p>", "<div class=", "<script>x", "<!-- x", "<style>p{}</style>", "<p" * 500, "</p></div>", "<" * 5000, '<a href="' * 300])
 def test_odd_markup(spark, page):
     rows = spark.createDataFrame([(1, "u", page, "clash")], "page_id long, url string, html string, text string")

@@ -6,7 +6,8 @@ the last return the columns of documents.
 Defined results: a null or empty text has no words, so the first stage takes its row away;
 a null source is a host of its own; rows with a null or repeated doc_id are judged one by
 one; of rows with one text only the one of smallest doc_id stays (nulls last); extra
-columns are carried through, whatever their names; an empty table gives an empty result.
+columns are carried through (their names must not begin with _pq_); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -175,27 +175,27 @@ _CAPM = f"""SELECT signal, sample, series, n AS months, {_r(['alpha_monthly_bps'
   GROUP BY ALL HAVING count(*) >= 9)"""
 
 
-def _orthogonal(names: tuple[str, ...]) -> str:
+def _orthogonal(names: tuple[str, ...], key: str, where: str) -> str:
     """Residuals of the return (y) and of the constant (c) on these factors, one factor
     after the other, each cleared of those before it."""
-    w = "OVER (PARTITION BY signal, sample, series)"
-    sql = f"SELECT signal, sample, series, date, ret, ret AS y, CAST(1 AS DOUBLE) AS c, {', '.join(names)} FROM series JOIN factors USING (date) WHERE hold = 12"
+    w = f"OVER (PARTITION BY {key})"
+    sql = f"SELECT {key}, date, ret, ret AS y, CAST(1 AS DOUBLE) AS c, {', '.join(names)} FROM series JOIN factors USING (date) WHERE {where}"
     for i, f in enumerate(names):
         rest = ["y", "c", *names[i + 1 :]]
-        sql = f"SELECT signal, sample, series, date, ret, {', '.join(f'{x} - {f} * (sum({x} * {f}) {w}) / (sum({f} * {f}) {w}) AS {x}' for x in rest)} FROM ({sql})"
+        sql = f"SELECT {key}, date, ret, {', '.join(f'{x} - {f} * (sum({x} * {f}) {w}) / (sum({f} * {f}) {w}) AS {x}' for x in rest)} FROM ({sql})"
     return sql
 
 
-def _model(name: str, names: tuple[str, ...]) -> str:
-    w = "OVER (PARTITION BY signal, sample, series)"
+def _model(name: str, names: tuple[str, ...], key: str = "signal, sample, series", where: str = "hold = 12") -> str:
+    w = f"OVER (PARTITION BY {key})"
     enough = f"count(*) >= {len(names) + 8}"
-    return f"""SELECT signal, sample, series, '{name}' AS model, count(*) AS months,
+    return f"""SELECT {key}, '{name}' AS model, count(*) AS months,
          CASE WHEN {enough} THEN round(max(alpha) * 1e4, 6) + 0.0 END AS alpha_monthly_bps,
          CASE WHEN {enough} THEN round(max(alpha) / sqrt(sum(u * u) + 2 * ({_lags('u * u{k}')})), 6) + 0.0 END AS alpha_t,
          CASE WHEN {enough} THEN round(1 - sum(e * e) / (var_pop(ret) * count(*)), 6) + 0.0 END AS r2
-  FROM (SELECT *, {', '.join(f'lag(u, {k}) OVER (PARTITION BY signal, sample, series ORDER BY date) AS u{k}' for k in range(1, 7))}
+  FROM (SELECT *, {', '.join(f'lag(u, {k}) OVER (PARTITION BY {key} ORDER BY date) AS u{k}' for k in range(1, 7))}
         FROM (SELECT *, (y - alpha * c) AS e, c / cc * (y - alpha * c) AS u
-              FROM (SELECT *, sum(y * c) {w} / sum(c * c) {w} AS alpha, sum(c * c) {w} AS cc FROM ({_orthogonal(names)}))))
+              FROM (SELECT *, sum(y * c) {w} / sum(c * c) {w} AS alpha, sum(c * c) {w} AS cc FROM ({_orthogonal(names, key, where)}))))
   GROUP BY ALL"""
 
 
@@ -271,6 +271,7 @@ def _unescaped(text: str) -> str:
 #: As BODIES, VIEWS in front.
 BODIES_2 = {
     "factor_models": " UNION ALL ".join(_model(name, names) for name, names in _MODELS.items()),
+    "hold_alpha": f"SELECT signal, CAST(hold AS INTEGER) AS hold_months, months, alpha_monthly_bps, alpha_t FROM ({_model('FF5+MOM', _MODELS['FF5+MOM'], 'hold, signal, sample, series', 'sample = ' + repr('Full sample') + ' AND series = ' + repr('LS'))})",
     "similarity_describe": f"SELECT measure, count(value) AS count, {', '.join(f'round({f}, 6) + 0.0 AS {n}' for n, f in (('mean', 'avg(value)'), ('std', 'stddev_samp(value)'), ('min', 'min(value)'), ('p25', 'quantile_cont(value, 0.25)'), ('p50', 'quantile_cont(value, 0.5)'), ('p75', 'quantile_cont(value, 0.75)'), ('max', 'max(value)')))} FROM (SELECT unnest([{', '.join(map(repr, _MEASURES))}]) AS measure, unnest([{', '.join(_MEASURES)}]) AS value FROM panel) WHERE value IS NOT NULL GROUP BY measure",
     "missing_tickers": "SELECT DISTINCT 'T' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS ticker FROM customer WHERE 'T' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') NOT IN (SELECT ticker FROM returns)",
     "meta_months": BODIES["meta_row"] + ", (SELECT coalesce(concat_ws(' to ', CAST(min(date) AS VARCHAR), CAST(max(date) AS VARCHAR)), '') FROM nets WHERE hold = 12 AND signal = 'full_cosine') AS return_months",

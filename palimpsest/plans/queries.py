@@ -407,6 +407,13 @@ def factor_models(v: Views) -> DataFrame:
     return rounded(out.select(*perf.KEY, "model", "months", "alpha_monthly_bps", "alpha_t", "r2"))
 
 
+@query
+def hold_alpha(v: Views) -> DataFrame:
+    """The six-factor alpha that hold_robustness leaves out."""
+    out = research.robustness(_signals(v), v.returns(), v.factors(), portfolio.COST_BPS, _min_names(v), primary=("full_cosine", "full_jaccard"))
+    return rounded(out.select("signal", "hold_months", "months", "alpha_monthly_bps", "alpha_t"))
+
+
 @query
 def similarity_describe(v: Views) -> DataFrame:
     panel = _panel(v)

@@ -16,7 +16,7 @@ from palimpsest.schemas import SECTIONS
 from palimpsest.sources.views import Views
 from palimpsest.streaming.landing import parse_arrivals
 
-FAST = ["universe_dedup", "form_filter_index", "filing_url", "token_counts", "cosine_pairs", "consecutive_pairs_orders", "qa_summary_by_year", "normalize_lines", "top_changes", "returns_melt", "factor_block_parse", "formation_dates", "quantile_assignment", "turnover_net", "status_counts", "html_to_text", "split_passages", "extract_sections", "factor_models", "similarity_describe", "missing_tickers", "meta_months"]
+FAST = ["universe_dedup", "form_filter_index", "filing_url", "token_counts", "cosine_pairs", "consecutive_pairs_orders", "qa_summary_by_year", "normalize_lines", "top_changes", "returns_melt", "factor_block_parse", "formation_dates", "quantile_assignment", "turnover_net", "status_counts", "html_to_text", "split_passages", "extract_sections", "factor_models", "hold_alpha", "similarity_describe", "missing_tickers", "meta_months"]
 
 
 def _rows(df: pd.DataFrame) -> list:

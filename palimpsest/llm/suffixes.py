@@ -8,11 +8,13 @@
    ranges of (key, row): a passage in a third of all documents spreads over many tasks.
    Neighbours are compared as they stream by; suffixes that share their key with another
    document's stay.  Runs cut by a range border are settled by key afterwards.
-3. From each suffix that stays the match is extended left and right: every passage of
-   `span` words anchored at it is hashed (96 bits) and counted over documents, combining
-   before the shuffle.  Those in two or more documents are repeats, and their union in a
-   document is the set of its maximal repeated spans.  This finds all of them, whichever
-   partner shares most to the left or to the right.
+3. From each suffix that stays the match is extended left and right, word by word, against
+   all its partners at once: a passage of `span` words that begins d words left of the
+   suffix ends span - d words right of its start, and each such extension is hashed (by two
+   families, 128 bits) and counted over documents, combining before the shuffle.  Those in
+   two or more documents are repeats, and their union in a document is the set of its
+   maximal repeated spans.  Comparing with sort neighbours alone would lose spans whose
+   longest partner to the left is not next in order.
 
 Defined results: words are runs of anything but ASCII white space, compared by bytes;
 null, empty and short texts have no passage and give no row; a passage repeated inside
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import as_text, saved, shared_dir
-from palimpsest.llm.textkernel import gram_hash, mix, separators, slabs, sliding_argmin
+from palimpsest.llm.common import as_text, dropped, saved, shared_dir
+from palimpsest.llm.textkernel import gram_hash, separators, slabs, sliding_argmin, span_hash
 
 GRAM, SPREAD = 5, 28
-BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -108,12 +110,12 @@ def _passages(span: int):
         for batch in batches:
             rows, kept = batch.column("row").to_numpy(), batch.column("kept")
             for slab in slabs(batch.column("text"), sep, False):
-                first, second = gram_hash(slab.hash, span), gram_hash(mix(slab.hash ^ np.uint64(0xC2B2AE35)), span)
+                first, second = gram_hash(slab.hash, span), gram_hash(span_hash(slab.data, slab.start, slab.end, second=True), span)
                 parts = []
                 for r in range(slab.n_rows):
                     a, b = slab.word_lo[r], slab.word_lo[r + 1]
                     s = np.flatnonzero(np.isin(anchors(slab.hash[a:b], span), kept[slab.first + r].values.to_numpy()))
-                    parts.append((np.full(len(s), slab.first + r), s, first[a + s].view(np.int64), second[a + s].astype(np.uint32).view(np.int32)))
+                    parts.append((np.full(len(s), slab.first + r), s, first[a + s].view(np.int64), second[a + s].view(np.int64)))
                 of, s, h, g = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[of]), batch.column("doc_id").take(pa.array(of)), pa.array(s.astype(np.int32)), pa.array(h), pa.array(g)], ["row", "doc_id", "s", "h", "g"])
 
@@ -143,20 +145,25 @@ def _spans(span: int):
     return run
 
 
-def _marks(rows: DataFrame) -> np.ndarray:
-    """A bitmap of BITS hashed row numbers: a fixed size, whatever the rows."""
-    bit = F.pmod(F.xxhash64("row"), F.lit(BITS)).alias("bit")
+def _marks(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of hashed row numbers, `bits` long."""
+    bit = F.pmod(F.xxhash64("row"), F.lit(bits)).alias("bit")
     parts = rows.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    whole = np.zeros(BITS // 8 + (1 << 12), np.uint8)
-    for part, bits in parts.collect():  # at most BITS / 32,768 + 1 rows of 4 KB
-        whole[part * 4096 : part * 4096 + 4096] |= np.frombuffer(bits, np.uint8)
+    whole = np.zeros(bits // 8 + (1 << 12), np.uint8)
+    for part, found in parts.toLocalIterator():  # bits / 32,768 + 1 rows of 4 KB
+        whole[part * 4096 : part * 4096 + 4096] |= np.frombuffer(found, np.uint8)
     return whole
 
 
 def _marked(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs less most of those whose row is not among rows, before they are shuffled."""
-    marks = docs.sparkSession.sparkContext.broadcast(_marks(rows))
-    at = docs.withColumn("bit", F.pmod(F.xxhash64("row"), F.lit(BITS)))
+    """docs less most of those whose row is not among rows, before they are shuffled.
+
+    The bitmap has eight bits a row, but MOST_BITS (32 MB) at most: beyond some 50 million
+    rows it lets more and more through, which costs shuffle and changes no result.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * rows.count()).bit_length()))
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(rows, bits))
+    at = docs.withColumn("bit", F.pmod(F.xxhash64("row"), F.lit(bits)))
     at = at.withColumn("part", F.bitmap_bucket_number("bit")).withColumn("place", F.bitmap_bit_position("bit")).drop("bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +190,24 @@ def repeated_passages(docs: DataFrame, span: int = 50) -> DataFrame:
     docs = saved(docs, folder, "rows")  # numbers that no later step draws anew
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     equal = docs.filter(F.col("n_words") >= span).groupBy("md5", "n_words").agg(lead.alias("lead"), F.count("*").alias("copies")).filter("copies > 1")
-    equal = docs.select("row", "md5", "n_words").join(equal.select("md5", "n_words", F.col("lead.row").alias("first")), ["md5", "n_words"])
+    equal = saved(equal.select("md5", "n_words", F.col("lead.row").alias("first")), folder, "repeated")
+    equal = docs.select("row", "md5", "n_words").join(equal, ["md5", "n_words"])
     equal = saved(equal.select("row", (F.col("row") == F.col("first")).alias("is_first")), folder, "equal")
     sparse = saved(docs.select("row", "text").mapInArrow(_suffixes(span), "key long, row long, pos int"), folder, "suffixes")
     sparse = sparse.join(equal.filter("not is_first").select("row"), "row", "left_anti")
     ordered = sparse.repartitionByRange("key", "row").sortWithinPartitions("key", "row", "pos").select("key", "row", "pos")
     near = saved(ordered.mapInArrow(neighbours, "key long, row long, pos int, edge boolean"), folder, "near")
+    dropped(docs.sparkSession, folder, "suffixes")
     edge = near.filter("edge")
     settled = near.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b").join(edge.select("key").distinct(), "key", "left_semi")
     stay = near.filter("not edge").select("row", "pos").union(edge.join(settled, "key", "left_semi").select("row", "pos"))
     kept = saved(stay.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("kept")), folder, "kept")  # of one document
+    dropped(docs.sparkSession, folder, "near")
     texts = _marked(docs.select("row", "doc_id", "text"), kept.select("row"))
-    passages = saved(texts.join(kept, "row").mapInArrow(_passages(span), "row long, doc_id long, s int, h long, g int"), folder, "passages")
+    passages = saved(texts.join(kept, "row").mapInArrow(_passages(span), "row long, doc_id long, s int, h long, g long"), folder, "passages")
     shared = passages.groupBy("h", "g").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("doc_id").alias("first")).filter("a < b")
-    hits = passages.join(shared.select("h", "g", "first"), ["h", "g"]).select("row", F.struct("s", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")).alias("hit"))
+    shared = saved(shared.select("h", "g", "first"), folder, "shared")  # so that a passage in a third of all documents can be split below
+    hits = passages.join(shared, ["h", "g"]).select("row", F.struct("s", (~F.col("doc_id").eqNullSafe(F.col("first"))).alias("later")).alias("hit"))
     spans = hits.groupBy("row").agg(F.collect_list("hit").alias("hits")).mapInArrow(_spans(span), "row long, n_repeated long, spans string, n_later long, later_spans string")  # of one document
     found = spans.join(equal, "row", "full_outer").join(docs.select("row", "doc_id", "n_words"), "row")
     whole, later = F.col("is_first").isNotNull(), F.coalesce(~F.col("is_first"), F.lit(False))

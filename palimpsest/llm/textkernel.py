@@ -38,17 +38,18 @@ _CODES_LOWER[65:91] = _CODES[97:123]
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo 2**64, grown on demand."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int = _BASE) -> None:
+        self.base = base
         self.up = np.ones(1, U64)
         self.down = np.ones(1, U64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            up = np.full(n, U64(_BASE), U64)
+            up = np.full(n, U64(self.base), U64)
             up[0] = 1
-            down = np.full(n, U64(pow(_BASE, -1, 1 << 64)), U64)
+            down = np.full(n, U64(pow(self.base, -1, 1 << 64)), U64)
             down[0] = 1
             np.cumprod(up, out=up)
             np.cumprod(down, out=down)
@@ -59,13 +60,19 @@ class _Powers:
 
 
 _powers = _Powers()
+#: A second family: other codes of the bytes, another base.
+_CODES_2, _powers_2 = mix(np.arange(5001, 5257, dtype=U64)), _Powers(0xC2B2AE3D27D4EB4F)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Hash of data[start:end] for every span; lower: ASCII capitals count as small."""
-    up, down = _powers.upto(len(data) + 1)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """Hash of data[start:end] for every span; lower: ASCII capitals count as small.
+
+    second: by a family of its own, so that spans of equal hash in both are equal but for
+    one case in 2**128."""
+    up, down = (_powers_2 if second else _powers).upto(len(data) + 1)
+    codes = _CODES_2 if second else _CODES_LOWER if lower else _CODES
     sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((_CODES_LOWER if lower else _CODES)[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start])
 
 

@@ -223,8 +223,8 @@ def _overlap(percent: int):
 class _Links:
     """Confirmed links found so far and the cores they make."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int, folder: str) -> None:
-        self.reps, self.percent, self.folder = reps, percent, folder
+    def __init__(self, docs: DataFrame, sigs: DataFrame, members: DataFrame, percent: int, folder: str) -> None:
+        self.sigs, self.percent, self.folder = sigs, percent, folder
         self.sets, self.found, self.n = members, docs.sparkSession.createDataFrame([], "a long, b long"), 0
         self.cores = self.found.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
@@ -240,12 +240,13 @@ class _Links:
     def tried(self, pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that are similar: retained by collisions of their
         signatures, confirmed on full sets."""
-        sig = lambda side: self.reps.select(F.col("row").alias(side), F.col("sig").alias(f"sig_{side}"))
+        sig = lambda side: self.sigs.select(F.col("row").alias(side), F.col("sig").alias(f"sig_{side}"))
         equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
         retained = pairs.join(sig("a"), "a").join(sig("b"), "b").filter(equal >= LEAST).select("a", "b")
         retained = saved(retained, self.folder, f"retained-{self.n + 1}")
         full = lambda side: self.sets.select(F.col("row").alias(side), F.col("shingles").alias(f"set_{side}"))
-        return retained.join(full("a"), "a").join(full("b"), "b").mapInArrow(_overlap(self.percent), "a long, b long")
+        pivots = full("b").join(retained.select("b").distinct(), "b", "left_semi")  # few, so most sets are shuffled once
+        return retained.join(pivots, "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_overlap(self.percent), "a long, b long")
 
     def with_core(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.cores.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("core", F.coalesce("component", "row")).drop("component")
@@ -334,15 +335,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, folder: str
     live = posts.join(shared, "token").groupBy("row").agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # at most 64 a row
     live = live.filter(F.col("m") >= LEAST)
     lists = saved(live.select("row", F.explode(F.slice("tokens", F.lit(1), F.col("m").cast("int") - LEAST + 1)).alias("t")).select(F.col("t.token").alias("token"), "row"), folder, "lists")
-    members = docs.select("row", "text").join(lists.select("row").distinct(), "row").mapInArrow(_full_sets(k), "row long, shingles binary")
-    links = _Links(docs, reps, saved(members, folder, "members"), percent, folder)
+    rows = saved(lists.select("row").distinct(), folder, "rows-in-lists")  # a table whose size is known, so that texts are shuffled only where it is too large to broadcast
+    sigs = saved(reps.join(rows, "row", "left_semi"), folder, "sigs")
+    dropped(docs.sparkSession, folder, "reps", "shared")
+    members = docs.select("row", "text").join(rows, "row").mapInArrow(_full_sets(k), "row long, shingles binary")
+    links = _Links(docs, sigs, saved(members, folder, "members"), percent, folder)
     _merged_lists(lists, links)
     by_rep = links.cores.select(F.col("node").alias("rep"), "component")
     named = classes.join(by_rep, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = saved(named, folder, "named")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("n"), F.col("rep_id").alias("doc_id"), F.col("rep").alias("row"))).alias("lead"))
     named = named.join(saved(first, folder, "leads"), "component").select("set_a", "set_b", F.col("lead.row").alias("lead_row"), F.col("lead.doc_id").alias("lead_id"))
-    dropped(docs.sparkSession, folder, "reps", "shared", "lists", "members", "left", "parts", "large", "block-pairs")
+    dropped(docs.sparkSession, folder, "sigs", "lists", "rows-in-lists", "members", "left", "parts", "large", "block-pairs")
     out = sets.select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), "set_b").join(named, ["set_a", "set_b"], "left")
     return out.select("row", "doc_id", "n_shingles", F.coalesce("lead_row", "row").alias("component_row"), F.when(F.col("lead_row").isNull(), F.col("doc_id")).otherwise(F.col("lead_id")).alias("component_id"))
 

@@ -4,9 +4,10 @@ A text over `chunk_chars` is encoded in overlapping chunks with offsets.  Neighb
 chunks are spliced at a boundary that both encodings share and that is proven stable: a
 white-space character at which this pre-tokeniser always restarts, followed by tokens
 that agree in id and offset up to the next such character.  Where the overlap holds none,
-it is widened until it does, in the end to the whole of both chunks.
+it is widened until it does, in the end to the whole of both chunks.  What is held at a
+time is a chunk or two, however long the text.
 
-A text of one chunk, and so most texts, is encoded as units that start at a space or line
+A text of one chunk is encoded as units that start at a space or line
 feed.  The pre-tokeniser drops white space and matches nothing across it, normalisation
 composes nothing with a space, and special strings hold none; so the library's tokens of
 the units in turn are its tokens of the text.  A unit is encoded once per task.
@@ -42,46 +43,60 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _tokens(tok, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    """(start, end, id) of the tokens of text[a:b], offsets into text."""
-    got = tok.encode(text[a:b], add_special_tokens=False)
-    return [(a + s, a + e, i) for (s, e), i in zip(got.offsets, got.ids, strict=True)]
+class _Chunk:
+    """The encoding of text[a:b]; places are those of the text."""
 
+    def __init__(self, tok, text: str, a: int, b: int) -> None:
+        self.a, self.b, self.got = a, b, tok.encode(text[a:b], add_special_tokens=False)
+        self.ids = self.got.ids
 
-def _boundary(text: str, left: list, right: list, lo: int, hi: int, breaks: str) -> int | None:
-    """A proven common boundary in text[lo:hi], the overlap of two encoded chunks."""
-    at = [x for x in range(lo + 1, hi - 1) if text[x] in breaks]
+    def word(self, x: int, y: int) -> tuple[int, list[tuple[int, int, int]]] | None:
+        """The first token at or after the white space x, if it starts at x + 1, and from it
+        on the (start, end, id) of those that end by y, the next white space."""
+        i = self.got.char_to_token(x + 1 - self.a)
+        if i is None or i and self.got.token_to_chars(i - 1)[1] + self.a > x:
+            return None
+        found = []
+        for k in range(i, len(self.ids)):
+            s, e = self.got.token_to_chars(k)
+            if e + self.a > y:
+                break
+            found.append((s + self.a, e + self.a, self.ids[k]))
+        return (i, found) if found and found[0][0] == x + 1 else None
+
+
+def _boundary(text: str, left: _Chunk, right: _Chunk, breaks: str) -> tuple[int, int, int] | None:
+    """(place, token of left, token of right) of a proven common boundary in the overlap."""
+    at = [x for x in range(right.a + 1, left.b - 1) if text[x] in breaks]
     for x, y in zip(at, at[1:], strict=False):
-        mine = [t for t in left if x <= t[0] and t[1] <= y]
-        if mine and mine == [t for t in right if x <= t[0] and t[1] <= y]:
-            return x
+        mine = left.word(x, y) if y > x + 1 else None
+        theirs = right.word(x, y) if mine else None
+        if theirs and mine[1] == theirs[1]:
+            return x, mine[0], theirs[0]
     return None
 
 
 def resynchronised(tok, text: str, size: int, overlap: int, breaks: str = BREAKS) -> list[int]:
     """Ids of a text of any length, encoded in chunks of `size` characters or more."""
     ids: list[int] = []
-    a, b = 0, min(size, len(text))
-    left = _tokens(tok, text, a, b)
-    while b < len(text):
+    left, first, a = _Chunk(tok, text, 0, min(size, len(text))), 0, 0  # its tokens from `first` on, which start after a, are not taken yet
+    while left.b < len(text):
         back = min(overlap, size // 2)
         while True:
-            c = max(a, b - back)
-            d = min(len(text), c + max(size, 2 * back))
-            right = _tokens(tok, text, c, d)
-            if c == a:  # widened to the whole of the left chunk
-                left, b = right, d
+            c = max(a, left.b - back)
+            right = _Chunk(tok, text, c, min(len(text), c + max(size, 2 * back)))
+            if c == a:  # widened to all of the left chunk that is not taken
+                left, first = right, 0
                 break
-            x = _boundary(text, [t for t in left if t[1] > c], [t for t in right if t[0] < b], c, b, breaks)
-            if x is not None:
-                ids += [i for _, e, i in left if e <= x]
-                left, a, b = [t for t in right if t[0] >= x], x, d
+            if (found := _boundary(text, left, right, breaks)) is not None:
+                ids += left.ids[first : found[1]]
+                left, first, a = right, found[2], found[0]
                 break
             back *= 2
-    return ids + [i for _, _, i in left]
+    return ids + left.ids[first:]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int = 50_000, overlap: int = 400) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int = 4_000, overlap: int = 200) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit; path: a tokenizers .json file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

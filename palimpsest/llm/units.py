@@ -35,7 +35,7 @@ class UnitSlab:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, sep: np.ndarray, mark_first: bool, cut_marks: bool = False) -> None:
-        self.first, self.n_rows = first, len(offsets) - 1
+        self.first, self.n_rows, self.mark_first = first, len(offsets) - 1, mark_first
         self.data, self.offsets = data, offsets - offsets[0]
         is_sep = sep[data]
         begins = np.zeros(len(data) + 1, bool)
@@ -52,6 +52,14 @@ class UnitSlab:
             self.hash[head] ^= FIRST
         self.raw = data.tobytes()
 
+    def same(self, other: np.ndarray) -> bool:
+        """Whether the bytes of every unit are those of the unit other[i]."""
+        size = self.end - self.start
+        if not np.array_equal(size, size[other]):
+            return False
+        at = np.arange(len(self.data)) + np.repeat(self.start[other] - self.start, size)  # units cover the slab
+        return np.array_equal(self.data[at], self.data)
+
     def row(self, r: int) -> bytes:
         return self.raw[self.offsets[r] : self.offsets[r + 1]]
 
@@ -69,21 +77,29 @@ def unit_slabs(column: pa.Array, sep: np.ndarray, mark_first: bool = False, cut_
 
 
 class UnitCache:
-    """What `encode` gave for the units seen lately, by unit hash.
+    """What `encode` gave for the units seen lately, by their bytes.
 
     Two generations of at most `limit` units and one slab's more: a unit that is met again
-    moves to the younger one, and when that is full the older one is dropped.
+    moves to the younger one, and when that is full the older one is dropped.  Hashes only
+    group the units of a slab, and their groups are compared by bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], list[bool]], list], limit: int = 250_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes], list[bool]], list], limit: int = 150_000) -> None:
         self.encode, self.limit = encode, limit
         self.young: dict = {}
         self.old: dict = {}
 
     def of(self, slab: UnitSlab) -> tuple[list, np.ndarray]:
         """(payloads of the distinct units, which of them each unit has)."""
-        distinct, first, which = np.unique(slab.hash, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        _, first, which = np.unique(slab.hash, return_index=True, return_inverse=True)
+        if not slab.same(first[which]):  # a collision: group by bytes
+            heads = np.isin(np.arange(len(slab.start)), slab.lo[:-1]).tolist()
+            groups: dict = {}
+            of = [groups.setdefault((h, slab.raw[s:e]), len(groups)) for h, s, e in zip(heads, slab.start.tolist(), slab.end.tolist(), strict=True)]
+            first, which = np.unique(of, return_index=True)[1], np.array(of)
+        units = [slab.raw[s:e] for s, e in zip(slab.start[first].tolist(), slab.end[first].tolist(), strict=True)]
+        heads = np.isin(first, slab.lo[:-1]).tolist() if slab.mark_first else [False] * len(first)
+        keys = [(u,) if h else u for u, h in zip(units, heads, strict=True)] if slab.mark_first else units
         young, old = self.young, self.old
         payload = [young.get(k) for k in keys]
         new = []
@@ -95,10 +111,7 @@ class UnitCache:
                 else:
                     payload[i] = young[k] = y
         if new:
-            f = first[new]
-            units = [slab.raw[s:e] for s, e in zip(slab.start[f].tolist(), slab.end[f].tolist(), strict=True)]
-            heads = np.isin(f, slab.lo[:-1]).tolist()
-            for i, x in zip(new, self.encode(units, heads), strict=True):
+            for i, x in zip(new, self.encode([units[i] for i in new], [heads[i] for i in new]), strict=True):
                 payload[i] = young[keys[i]] = x
         if len(young) > self.limit:
             self.old, self.young = young, {}

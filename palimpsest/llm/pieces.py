@@ -2,7 +2,8 @@
 
 The encoder keeps an agenda of adjacent symbol pairs ordered by piece score, then by
 place; it pops the best pair, skips it if either symbol has changed since, merges it and
-posts the two new pairs.  What no piece covers falls back to bytes.
+posts the two new pairs.  What no piece covers falls back to bytes.  Its ids are what is
+returned.
 
 Texts are taken as units that start where a space follows another character.  That is
 exact when no piece holds the space mark after another character, which is verified on
@@ -23,7 +24,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ from palimpsest.llm.units import UnitCache, ascii_set, unit_slabs
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_corrected long"
 MARK = "▁"
-NEVER, TOGETHER, TOGETHER_UNITS = 1 << 40, 40, 16_384
+CHECKED_TOGETHER = 16_384
 
 
 class Pieces:
@@ -50,18 +50,6 @@ class Pieces:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = sp.unk_id()
         self.byte_fallback = sp.is_byte(self.bytes[0])
-        self.chars = np.full(0x110000, -1, np.int64)
-        for p, i in self.ids.items():
-            if len(p) == 1:
-                self.chars[ord(p)] = i
-        pairs = {}
-        for p, i in self.ids.items():
-            for k in range(1, len(p)):
-                if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None:
-                    pairs[a << 32 | b] = (self.rank[p], i)
-        self.pairs = np.array(sorted(pairs) or [0])
-        self.pair_rank = np.array([pairs.get(k, (NEVER, 0))[0] for k in self.pairs.tolist()])
-        self.pair_merged = np.array([pairs.get(k, (NEVER, 0))[1] for k in self.pairs.tolist()])
         kept = sp.decode(sp.encode("a  b ")) == "a  b "
         self.splits = kept and all(MARK not in p.lstrip(MARK) for p in self.ids)
 
@@ -100,69 +88,14 @@ class Pieces:
                     ids.append(self.unknown)
         return ids
 
-    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged id) of pairs of symbols; NEVER where no piece joins them."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        there = (self.pairs[at] == key) & (right >= 0) & (left >= 0)
-        return np.where(there, self.pair_rank[at], NEVER), self.pair_merged[at]
-
-    def _merge_all(self, symbols: np.ndarray) -> list[np.ndarray]:
-        """Ids of units of one length (units x symbols).  All agendas advance together: each
-        step pops the best pair of every unit, the leftmost of equals, merges it and posts
-        the pairs beside it; a unit without a pair left is done."""
-        done: list = [None] * len(symbols)
-        units = np.arange(len(symbols))
-        rank, merged = self._look(symbols[:, :-1], symbols[:, 1:])
-        while len(units):
-            width = symbols.shape[1]
-            best = rank.argmin(axis=1) if width > 1 else None
-            open_ = rank[np.arange(len(units)), best] < NEVER if width > 1 else np.zeros(len(units), bool)
-            for u, ids in zip(units[~open_].tolist(), symbols[~open_], strict=True):
-                done[u] = ids
-            units, symbols = units[open_], symbols[open_]
-            if not len(units):
-                break
-            rank, merged, best = rank[open_], merged[open_], best[open_]
-            rows = np.arange(len(units))
-            symbols[rows, best] = merged[rows, best]
-            keep = np.arange(width - 1) + (np.arange(width - 1) > best[:, None])
-            symbols = np.take_along_axis(symbols, keep, axis=1)
-            if width == 2:
-                rank, merged = rank[:, :0], merged[:, :0]
-                continue
-            # pair `best` is gone: those after it move up, and both pairs at the merged symbol are new
-            keep = np.arange(width - 2) + (np.arange(width - 2) >= best[:, None])
-            rank, merged = np.take_along_axis(rank, keep, axis=1), np.take_along_axis(merged, keep, axis=1)
-            for at in (best - 1, best):
-                r = rows[(at >= 0) & (at < width - 2)]
-                c = at[r]
-                rank[r, c], merged[r, c] = self._look(symbols[r, c], symbols[r, c + 1])
-        return done
-
-    def encode_many(self, texts: list[str]) -> list:
-        """encode() of many marked texts.  Short ones of one length are merged together; the
-        long ones, and those with characters that fall back to bytes, one by one."""
-        out: list = [None] * len(texts)
-        size = np.array([len(t) for t in texts])
-        symbols = self.chars[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        start = np.cumsum(size) - size
-        plain = (size > 0) & (size <= TOGETHER)
-        if len(symbols):
-            plain[size > 0] &= np.minimum.reduceat(symbols, start[size > 0]) >= 0
-        for n in np.unique(size[plain]).tolist():
-            of = np.flatnonzero(plain & (size == n))
-            for u, ids in zip(of.tolist(), self._merge_all(symbols[start[of][:, None] + np.arange(n)]), strict=True):
-                out[u] = ids.tolist()
-        for u in np.flatnonzero(~plain).tolist():
-            out[u] = self.encode(texts[u])
-        return out
-
     def checked(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of plain texts as the library gives them; which ones the agenda had wrong."""
-        own = self.encode_many([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+        """Ids of plain texts; which ones the library had to correct."""
+        own = [self.encode(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         theirs = self.library.encode(texts, num_threads=1)
-        return theirs, [a != b for a, b in zip(own, theirs, strict=True)]
+        if own == theirs:
+            return own, [False] * len(own)
+        wrong = [a != b for a, b in zip(own, theirs, strict=True)]
+        return [b if w else a for a, b, w in zip(own, theirs, wrong, strict=True)], wrong
 
 
 @lru_cache(2)
@@ -175,8 +108,8 @@ def _unit_encoder(model: Pieces):
         """Of each unit its ids as text; with what it decodes to and whether the agenda was
         wrong, where that is anything but its own text and no."""
         out = []
-        for a in range(0, len(units), TOGETHER_UNITS):
-            part, head = units[a : a + TOGETHER_UNITS], heads[a : a + TOGETHER_UNITS]
+        for a in range(0, len(units), CHECKED_TOGETHER):
+            part, head = units[a : a + CHECKED_TOGETHER], heads[a : a + CHECKED_TOGETHER]
             plain = [u.decode() if h else u[1:].decode() for u, h in zip(part, head, strict=True)]
             ids, wrong = model.checked(plain)
             # one space that ends a text: the library drops an empty input, the agenda doesn't
@@ -189,15 +122,18 @@ def _unit_encoder(model: Pieces):
     return encode
 
 
+@lru_cache(1)
+def _units(path: str) -> UnitCache:
+    """Of a Python worker, for all its tasks: some 100 MB at most."""
+    return UnitCache(_unit_encoder(pieces(path)), limit=200_000)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and n_corrected, the
     units whose ids the library had to correct."""
-    # Texts can be long: few rows an Arrow batch keep it small, in the JVM and in Python.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, sep = pieces(path), ascii_set(" ")
-        cache = UnitCache(_unit_encoder(model), limit=80_000)
+        model, cache, sep = pieces(path), _units(path), ascii_set(" ")
         for batch in batches:
             ids = batch.column("doc_id")
             for slab in unit_slabs(batch.column("text"), sep, mark_first=True):

@@ -48,3 +48,27 @@ def test_stages(spark, sf):
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
     assert set(ORACLE_SQL) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "benchmark decontamination", "personal data", "sentencepiece"]
+
+
+def test_stages_take_odd_rows(spark, sf):
+    """Nulls in every column, repeated rows and ids, empty texts, columns of other names."""
+    word = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [
+        (1, word(1), "en", "a", 9, "clash"), (1, word(1), "en", "a", 9, "clash"), (None, word(1), None, None, None, None), (2, None, "en", "a", 9, "clash"), (3, "", None, "", 0, ""),
+        (4, word(4) + " mail a.b@c.org", None, None, None, None), (4, word(5), "de", "b", 1, "x"), (None, word(6), "de", "b", 1, "x"), (5, "few words", "de", "b", 1, "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"]
+    masked = word(4) + " mail <EMAIL>"
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(1, word(1)), (4, masked), (4, word(5)), (None, word(6))], key=str)
+    last = corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()
+    assert sorted(str(r.doc_id) for r in last) == ["1", "4", "4", "None"]
+
+
+def test_stages_take_no_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0

@@ -57,12 +57,11 @@ def test_pieces_equal_library(docs):
     assert sorted(map(tuple, pieces.encoded(docs, path).collect()), key=str) == sorted(want, key=str)
 
 
-def test_agendas_agree():
+def test_agenda_equals_library():
     model = pieces.pieces(P.path("piece_bpe_32k.model"))
     rng = random.Random(2)
     texts = ["▁" + "".join(rng.choice("abcdefghinorstéü.,'▁0🙂") for _ in range(rng.randint(0, 45))) for _ in range(500)] + [""]
-    many = model.encode_many(texts)
-    assert many == [model.encode(t) for t in texts]
+    many = [model.encode(t) for t in texts]
     plain = [t.replace("▁", " ")[1:] for t in texts]
     assert [m for m, t in zip(many, plain) if t] == [model.library.encode(t) for t in plain if t]
 
@@ -106,6 +105,47 @@ def test_missing_chunk_is_found(spark, docs, tmp_path):
         token_store.read_store(spark, folder, 2).collect()
 
 
+def test_another_recipe_is_found(spark, docs, tmp_path):
+    """A recipe that is whole in itself, but not the one that was written."""
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(docs, P.path("byte_bpe_50k.json"), folder)
+    assert spark.read.parquet(f"{folder}/format").first() == (2, 2)
+    with pytest.raises(ValueError, match="2 bytes"):
+        token_store.read_store(spark, folder, 4)
+    recipes = spark.read.parquet(f"{folder}/recipes").collect()
+    a, b = (i for i, r in enumerate(recipes) if r.doc_id in (7, 8))
+    swapped = {a: recipes[b], b: recipes[a]}
+    rows = [(r.row, r.doc_id, *swapped.get(i, r)[2:5], r.part) for i, r in enumerate(recipes)]
+    spark.createDataFrame(rows, spark.read.parquet(f"{folder}/recipes").schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, folder)
+
+
+def test_reads_are_ranges():
+    places = [("a", 0, 10), ("a", 10, 5), ("a", 10**6, 9), ("b", 0, 3)]
+    assert [len(r) for r in token_store._ranges(places)] == [2, 1, 1]
+
+
+def test_repeated_ids_and_long_texts(spark, tmp_path):
+    """Rows that share an id, and a text longer than a slab."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(500_000))
+    assert len(long) > 2 << 20
+    rows = [(7, long), (7, "b"), (7, "b c"), (2, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    tok = token_count.tokenizer(P.path("word_bpe_49k.json"))
+    n = sorted((i, len(tok.encode(t, add_special_tokens=False).ids)) for i, t in rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(frame, P.path("word_bpe_49k.json")).collect()) == n
+    sp = pieces.pieces(P.path("piece_bpe_32k.model")).library
+    assert sorted((r.doc_id, r.n_tokens) for r in pieces.encoded(frame, P.path("piece_bpe_32k.model")).collect()) == sorted((i, len(sp.encode(t))) for i, t in rows)
+    tok = token_count.tokenizer(P.path("byte_bpe_50k.json"))
+    folder = f"file://{tmp_path}/store"
+    token_store.write_store(frame, P.path("byte_bpe_50k.json"), folder)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_store.read_store(spark, folder).collect())
+    assert [r[1] for r in got] == [2, 7, 7, 7] and sorted(r[1:] for r in got) == sorted((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert [r[0] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     folder = f"file://{tmp_path}/store"
     token_store.write_store(docs, P.path("byte_bpe_50k.json"), folder)

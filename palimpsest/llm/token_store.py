@@ -4,16 +4,18 @@ Layout of a store folder:
   packs/*.pack   chunk payloads one after another, each zstd over little-endian ids
                  (two bytes an id if the vocabulary allows, else four)
   index/         Parquet: digest, pack, at, size, width - every unique chunk once
-  recipes/       Parquet: row, doc_id, n_tokens, digests (16 bytes each), root, in order of doc_id
-  manifest/      Parquet: part, n_docs, n_tokens, root - Merkle roots over the recipes
+  recipes/       Parquet: row, doc_id, n_tokens, digests (16 bytes each), root, part, in order of doc_id
+  manifest/      Parquet: part, n_docs, n_tokens, root - Merkle roots over the recipes of each part
+  format/        Parquet, one row: bytes of an id, end id
 
 A rolling hash over the last `ROLL` ids cuts a document's id stream where its low bits
 are zero, so equal runs of ids give equal chunks wherever they stand.  Writing makes no
 shuffle of payloads: a task appends chunks new to it to a pack of its own, the least
 place of each digest becomes its owner, and packs are rewritten with owned chunks only.
 Pack names are unique to an attempt and count only if a committed row names them, so a
-task that is lost and run again leaves nothing wrong behind.  Reading fetches chunks by
-place, checks digests and Merkle roots, and needs no shuffle of payloads either.
+task that is lost and run again leaves nothing wrong behind.  Reading holds the
+recipes against the manifest, fetches chunks by ranges of places, checks digests and Merkle
+roots, and needs no shuffle of payloads either.
 
 Defined results: a null or empty text is the end id alone; documents come in ascending
 doc_id, nulls first, repeated ids in the order of their rows; other columns are ignored.
@@ -22,9 +24,12 @@ doc_id, nulls first, repeated ids in the order of their rows; other columns are
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -132,17 +137,28 @@ def _encoded_slabs(tok, column: pa.Array, cache: UnitCache, kind: np.dtype, end_
         yield slab.first, rows
 
 
+@lru_cache(1)
+def _units(path: str, width: int) -> UnitCache:
+    """Of a Python worker, for all its tasks; payloads are little-endian ids."""
+    tok, code = tokenizer(path), "H" if width == 2 else "I"
+
+    def encode(units: list[bytes], _: list[bool]) -> list[bytes]:
+        found = [array(code, x.ids) for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in found:
+                x.byteswap()
+        return [x.tobytes() for x in found]
+
+    return UnitCache(encode)
+
+
 def _spool(path: str, folder: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        tok = tokenizer(path)
-        kind = np.dtype("<u2" if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-
-        def encode(units: list[bytes], _: list[bool]) -> list[bytes]:
-            return [np.array(x.ids, kind).tobytes() for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-
-        cache, squeeze = UnitCache(encode), zstandard.ZstdCompressor(level=1).compress
+        tok, width = tokenizer(path), id_width(path, end_id)
+        kind = np.dtype(f"<u{width}")
+        cache, squeeze = _units(path, width), zstandard.ZstdCompressor(level=1).compress
         store, top = filesystem(folder)
         name, sink, at, seen = f"{uuid.uuid4().hex}.pack", None, 0, set()
         for batch in batches:
@@ -204,14 +220,32 @@ def _compact(folder: str):
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree, docs, tokens = Merkle(), 0, 0
+    """Of recipes sorted by part a row a part: its documents, their tokens, their Merkle root."""
+    part, tree, docs, tokens = None, Merkle(), 0, 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([tree.root()])], ["part", "n_docs", "n_tokens", "root"])
+
     for batch in batches:
-        for root in batch.column("root").to_pylist():
+        for p, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n_tokens", "root")), strict=True):
+            if p != part:
+                if docs:
+                    yield out()
+                part, tree, docs, tokens = p, Merkle(), 0, 0
             tree.push(root)
-        docs += len(batch)
-        tokens += sum(batch.column("n_tokens").to_pylist())
+            docs, tokens = docs + 1, tokens + n
     if docs:
-        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([tokens]), pa.array([tree.root()])], ["n_docs", "n_tokens", "root"])
+        yield out()
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    rows = recipes.select("part", "doc_id", "row", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "doc_id", "row")
+    return rows.select("part", "n_tokens", "root").mapInArrow(_roots, "part int, n_docs long, n_tokens long, root binary")
+
+
+def id_width(path: str, end_id: int) -> int:
+    """Bytes of an id of this vocabulary."""
+    return 2 if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> None:
@@ -223,14 +257,30 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> Non
     owners = owners.repartition("pack").sortWithinPartitions("pack", "at")
     saved(owners.mapInArrow(_compact(folder), "digest binary, pack string, at long, size int"), folder, "index")
     recipes = spool.select("row", "doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
-    recipes = saved(recipes, folder, "recipes")
-    saved(recipes.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(_roots, "n_docs long, n_tokens long, root binary").withColumn("part", F.spark_partition_id()), folder, "manifest")
+    recipes = saved(recipes.withColumn("part", F.spark_partition_id()), folder, "recipes")
+    saved(_part_roots(recipes), folder, "manifest")
+    saved(docs.sparkSession.createDataFrame([(id_width(path, end_id), end_id)], "width int, end_id long"), folder, "format")
     store, top = filesystem(folder)
     for done in ("stage", "spool"):
         if store.get_file_info(f"{top}/{done}").type.name == "Directory":
             store.delete_dir(f"{top}/{done}")
 
 
+FETCH_BYTES, GAP = 1 << 22, 1 << 15  # of chunks held at a time; between chunks that one read takes
+
+
+def _ranges(places: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
+    """Distinct sorted places (pack, at, size) in runs that one read can fetch."""
+    run: list[tuple[str, int, int]] = []
+    for x in places:
+        if run and (x[0] != run[0][0] or x[1] - run[-1][1] - run[-1][2] > GAP or x[1] + x[2] - run[0][1] > FETCH_BYTES):
+            yield run
+            run = []
+        run.append(x)
+    if run:
+        yield run
+
+
 def _fetch(folder: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -238,32 +288,67 @@ def _fetch(folder: str, width: int):
         store, top = filesystem(folder)
         kind, unpack = np.dtype(f"<u{width}"), zstandard.ZstdDecompressor().decompress
         files: dict = {}
+
+        def opened(pack: str):
+            if pack not in files:
+                if len(files) >= 64:
+                    files.clear()
+                files[pack] = store.open_input_file(f"{top}/packs/{pack}")
+            return files[pack]
+
+        def fetched(wanted: set[tuple[str, int, int]]) -> dict[tuple[str, int, int], bytes]:
+            out = {}
+            for together in _ranges(sorted(wanted)):
+                pack, start, _ = together[0]
+                data = opened(pack).read_at(together[-1][1] + together[-1][2] - start, start)
+                out |= {x: data[x[1] - start : x[1] - start + x[2]] for x in together}
+            return out
+
         for batch in batches:
-            n, crc = [], []
-            for digests, root, places in zip(*(batch.column(c).to_pylist() for c in ("digests", "root", "places")), strict=True):
-                data = []
-                for x in places or [{"pack": None}]:
-                    if x["pack"] is None:
-                        raise ValueError("a chunk of a recipe is missing from the index")
-                    if x["pack"] not in files:
-                        if len(files) >= 64:
-                            files.clear()
-                        files[x["pack"]] = store.open_input_file(f"{top}/packs/{x['pack']}")
-                    data.append(unpack(files[x["pack"]].read_at(x["size"], x["at"]), max_output_size=MOST * 4))
-                found = b"".join(map(digest, data))
-                if found != digests or merkle_root(found) != root:
-                    raise ValueError("a document does not match its recipe")
-                ids = np.frombuffer(b"".join(data), kind)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            columns = zip(*(batch.column(c).to_pylist() for c in ("digests", "root", "places")), strict=True)
+            rows, held, size, n, crc = [], set(), 0, [], []
+
+            def finish() -> None:
+                chunks = fetched(held)
+                for digests, root, places in rows:
+                    try:
+                        data = [unpack(chunks[p], max_output_size=MOST * 4) for p in places]
+                    except zstandard.ZstdError as bad:
+                        raise ValueError("a chunk is damaged: its document can't match its recipe") from bad
+                    found = b"".join(map(digest, data))
+                    if found != digests or merkle_root(found) != root:
+                        raise ValueError("a document does not match its recipe")
+                    ids = np.frombuffer(b"".join(data), kind)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                rows.clear()
+                held.clear()
+
+            for digests, root, places in columns:
+                if not places or any(x["pack"] is None for x in places):
+                    raise ValueError("a chunk of a recipe is missing from the index")
+                places = [(x["pack"], x["at"], x["size"]) for x in places]
+                rows.append((digests, root, places))
+                held.update(places)
+                size += sum(p[2] for p in places)
+                if size > FETCH_BYTES:
+                    finish()
+                    size = 0
+            finish()
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["row", "doc_id", "n_tokens", "ids_crc32"])
 
     return run
 
 
-def read_store(spark: SparkSession, folder: str, width: int) -> DataFrame:
+def read_store(spark: SparkSession, folder: str, width: int | None = None) -> DataFrame:
     """Per document of a store: doc_id, start, n_tokens, ids_crc32, from its files; in a
-    store that is damaged a task fails.  width: bytes of an id."""
+    store that is damaged a task fails, and one whose recipes are not those of its manifest
+    is a ValueError.  width: bytes of an id, if others than the store's are an error."""
+    verify_manifest(spark, folder)
+    there = spark.read.parquet(f"{folder}/format").first().width
+    if width not in (None, there):
+        raise ValueError(f"ids of this store have {there} bytes")
+    width = there
     recipes, index = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/index")
     each = F.transform(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1), lambda i: F.substring(F.col("digests"), i * DIGEST + 1, F.lit(DIGEST)))
     refs = recipes.select("row", F.posexplode(each).alias("seq", "digest"))
@@ -281,10 +366,11 @@ def read_store(spark: SparkSession, folder: str, width: int) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, folder: str) -> bytes:
-    """The store's Merkle root over its manifest; ValueError if documents or tokens differ
-    between manifest and recipes.  The manifest has a row a partition."""
-    parts = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect()
-    docs, tokens = spark.read.parquet(f"{folder}/recipes").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    if (docs, tokens) != (sum(p.n_docs for p in parts), sum(p.n_tokens for p in parts)):
+    """The store's Merkle root over its manifest; ValueError if the roots, documents or
+    tokens of a part, counted anew from its recipes, are not the manifest's.  The manifest
+    has a row a partition."""
+    columns = ["part", "n_docs", "n_tokens", "root"]
+    parts = [tuple(r) for r in spark.read.parquet(f"{folder}/manifest").select(*columns).orderBy("part").collect()]
+    if parts != [tuple(r) for r in _part_roots(spark.read.parquet(f"{folder}/recipes")).select(*columns).orderBy("part").collect()]:
         raise ValueError("recipes do not match the manifest")
-    return merkle_root(b"".join(bytes(p.root) for p in parts))
+    return merkle_root(b"".join(bytes(p[3]) for p in parts))

@@ -96,16 +96,22 @@ def resynchronised(tok, text: str, size: int, overlap: int, breaks: str = BREAKS
     return ids + left.ids[first:]
 
 
+@lru_cache(1)
+def _units(path: str) -> UnitCache:
+    """Of a Python worker, for all its tasks: how many tokens a unit has."""
+    tok = tokenizer(path)
+
+    def encode(units: list[bytes], _: list[bool]) -> list[int]:
+        return [len(x) for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+
+    return UnitCache(encode)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int = 4_000, overlap: int = 200) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit; path: a tokenizers .json file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, sep = tokenizer(path), ascii_set(BREAKS)
-
-        def encode(units: list[bytes], _: list[bool]) -> list[int]:
-            return [len(x.ids) for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-
-        cache = UnitCache(encode)
+        tok, cache, sep = tokenizer(path), _units(path), ascii_set(BREAKS)
         for batch in batches:
             ids = batch.column("doc_id")
             for slab in unit_slabs(batch.column("text"), sep):

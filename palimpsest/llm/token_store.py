@@ -24,12 +24,11 @@ doc_id, nulls first, repeated ids in the order of their rows; other columns are
 from __future__ import annotations
 
 import hashlib
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +38,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import as_text, saved
 from palimpsest.llm.textkernel import gram_hash, mix
 from palimpsest.llm.token_count import tokenizer
-from palimpsest.llm.units import UnitCache, ascii_set, unit_slabs
+from palimpsest.llm.units import PackedUnits, ascii_set, spans, unit_slabs
 
 ROLL, LEAST, MOST, BITS = 8, 64, 4096, 9
 DIGEST = 16
+AT_ONCE = 2_000  # units the library encodes in one call, whose results are held as objects
 SPOOL = "row long, doc_id long, n_tokens long, digests binary, root binary, chunks array<struct<digest:binary,pack:string,at:long,size:int>>"
 #: White space beyond ASCII, and controls on which tools differ: texts with these are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -111,20 +111,22 @@ def _has_odd_space(text: str) -> bool:
     return any(c in text for c in ODD_SPACE)
 
 
-def _encoded_slabs(tok, column: pa.Array, cache: UnitCache, kind: np.dtype, end_id: int) -> Iterator[tuple[int, list[bytes]]]:
+def _encoded_slabs(tok, column: pa.Array, cache: PackedUnits, kind: np.dtype, end_id: int) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, packed ids of each row with the end id).
 
     Units start where ASCII white space follows another character, and where an ASCII mark
-    follows an ASCII letter or digit.  No alternative of the pre-tokeniser's pattern
+    follows an ASCII letter or digit or a Latin-1 letter.  No alternative of the pre-tokeniser's pattern
     matches across such a place, unless the character before it is itself white space that
     ASCII lacks, or a special string stands there; such texts are encoded whole.
     """
     end = np.array([end_id], kind).tobytes()
-    odd = np.frombuffer(ODD_SPACE[:4].encode(), np.uint8)
+    odd = np.zeros(256, bool)
+    odd[[0xC2, 0xE1, 0xE2, 0xE3, *ODD_SPACE[:4].encode()]] = True
     for slab in unit_slabs(column, ascii_set(" \t\n\v\f\r"), cut_marks=True):
-        payload, which = cache.of(slab)
-        which = which.tolist()
-        multi = np.flatnonzero(np.isin(slab.data, [0xC2, 0xE1, 0xE2, 0xE3, *odd]))
+        numbers, at, size, which = cache.of(slab)
+        ids = numbers[spans(at[which], size[which])].tobytes()
+        ends = (np.concatenate([[0], np.cumsum(size[which])])[slab.lo] * kind.itemsize).tolist()
+        multi = np.flatnonzero(odd[slab.data])
         special = np.flatnonzero((slab.data[:-1] == ord("<")) & (slab.data[1:] == ord("|")))
         whole = set(np.searchsorted(slab.offsets, special, side="right").tolist())
         doubtful = set(np.searchsorted(slab.offsets, multi, side="right").tolist()) if len(multi) else set()
@@ -133,23 +135,24 @@ def _encoded_slabs(tok, column: pa.Array, cache: UnitCache, kind: np.dtype, end_
             if r + 1 in whole or r + 1 in doubtful and _has_odd_space(slab.row(r).decode()):
                 rows.append(np.array(tok.encode(slab.row(r).decode(), add_special_tokens=False).ids, kind).tobytes() + end)
             else:
-                rows.append(b"".join([payload[i] for i in which[slab.lo[r] : slab.lo[r + 1]]]) + end)
+                rows.append(ids[ends[r] : ends[r + 1]] + end)
         yield slab.first, rows
 
 
 @lru_cache(1)
-def _units(path: str, width: int) -> UnitCache:
+def _units(path: str, width: int) -> PackedUnits:
     """Of a Python worker, for all its tasks; payloads are little-endian ids."""
-    tok, code = tokenizer(path), "H" if width == 2 else "I"
+    tok, kind = tokenizer(path), np.dtype(f"<u{width}")
 
-    def encode(units: list[bytes], _: list[bool]) -> list[bytes]:
-        found = [array(code, x.ids) for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in found:
-                x.byteswap()
-        return [x.tobytes() for x in found]
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        values, size = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+        for i in range(0, len(units), AT_ONCE):
+            found = [x.ids for x in tok.encode_batch_fast(units[i : i + AT_ONCE], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+            values.append(np.fromiter(chain.from_iterable(found), kind, int(size[-1].sum())))
+        return np.concatenate(values), np.concatenate(size)
 
-    return UnitCache(encode)
+    return PackedUnits(encode, kind)
 
 
 def _spool(path: str, folder: str, end_id: int):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 P = pytest.importorskip("public_tokenizers")
 
 from palimpsest.llm import pieces, token_count, token_store  # noqa: E402
-from palimpsest.llm.units import UnitCache, ascii_set, unit_slabs  # noqa: E402
+from palimpsest.llm.units import PackedUnits, UnitCache, ascii_set, unit_slabs  # noqa: E402
 
 ODD = ["", None, " ", "  a  b ", "abc\n", " x▁y ▁ z", "a\tb c<|endoftext|>d", "ΑΣ ΑΣ. é é ́x ≮", "don't we'll x's. it'sabc 12.5%", "a… b…. c", "x\xa0 y z", "🙂 🙂🙂! \x00 \x1c a\x1cb", "   \n\n  x  \n ", "é.é!a!! b?!c", "<|startoftext|> x<|endoftext|>", "same row", "same row", "long " * 3000, "x" * 3000]
 SCHEMA = "doc_id long, text string, n_tokens string, row string, digests int"
@@ -76,6 +76,41 @@ def test_unit_cache_is_bounded():
     assert len(cache.young) + len(cache.old) <= 32
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_packed_units(collide):
+    """The payload of each unit, at any limit and with equal hashes; few are kept."""
+    rng = random.Random(1)
+    code = lambda u: [len(u), *u.encode()]
+    cache = PackedUnits(lambda units: (np.array([x for u in units for x in code(u)], "<u2"), np.array([len(code(u)) for u in units])), "<u2", limit=20)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["a", "bé", " w", "\n", " ", f" {rng.randrange(40)}"]) for _ in range(rng.randrange(12))) for _ in range(5)]
+        for slab in unit_slabs(pa.array(texts), ascii_set(" \n")):
+            if collide:
+                slab.hash = slab.hash % np.uint64(3)
+            numbers, at, size, which = cache.of(slab)
+            for s, e, i in zip(slab.start, slab.end, which):
+                assert numbers[at[i] : at[i] + size[i]].tolist() == code(slab.raw[s:e].decode())
+        assert len(cache.young) <= 20 and len(cache.old) <= 60
+
+
+def test_units_are_encoded_once():
+    """What a worker has encoded it doesn't encode again for a mark after it or half a million units later."""
+    path, sent = P.path("byte_bpe_50k.json"), []
+    tok, cache = token_count.tokenizer(path), token_store._units.__wrapped__(path, 2)
+    real = cache.encode
+    cache.encode = lambda units: sent.extend(units) or real(units)
+    encoded = lambda texts: [r for _, rows in token_store._encoded_slabs(tok, pa.array(texts), cache, np.dtype("<u2"), 2) for r in rows]
+    texts = ["a menú, é. menú! é×, ×,÷.", "é menú. menú, menú; été,.", "É’, ÿ) ÿ. e\u0301, ü'll ü' d"]
+    for text, row in zip(texts, encoded(texts), strict=True):
+        assert np.frombuffer(row, "<u2").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+    assert sum("menú" in u for u in sent) == 1
+    cache.encode = lambda units: sent.extend(units) or (np.ones(len(units), "<u2"), np.ones(len(units), np.int64))
+    sent.clear()
+    for first in (0, 170_000, 340_000, 0):
+        encoded([" ".join(f"w{i}" for i in range(first, first + 170_000))])
+    assert len(sent) < 520_000
+
+
 def test_store_round_trip(spark, docs, tmp_path):
     tok = token_count.tokenizer(P.path("byte_bpe_50k.json"))
     folder = f"file://{tmp_path}/store"

@@ -7,10 +7,12 @@ that agree in id and offset up to the next such character.  Where the overlap ho
 it is widened until it does, in the end to the whole of both chunks.  What is held at a
 time is a chunk or two, however long the text.
 
-A text of one chunk is encoded as units that start at a space or line
-feed.  The pre-tokeniser drops white space and matches nothing across it, normalisation
-composes nothing with a space, and special strings hold none; so the library's tokens of
-the units in turn are its tokens of the text.  A unit is encoded once per task.
+A text of one chunk is encoded as units that start at a space or line feed, or at an ASCII
+mark after a letter.  The pre-tokeniser drops white space, matches nothing across it and
+nothing that goes on from a letter or digit to a mark; normalisation composes nothing with
+a space or with such a mark as the second; so the library's tokens of the units in turn are
+its tokens of the text.  Texts where a special string may stand are encoded whole.  A
+worker encodes a unit once while it remembers it.
 
 Defined results: null or empty text: 0 bytes, 0 tokens; repeated rows and null ids are
 kept as they are; other columns are ignored.
@@ -23,11 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import as_text
-from palimpsest.llm.units import UnitCache, ascii_set, unit_slabs
+from palimpsest.llm.units import AT_ONCE, PackedUnits, ascii_set, unit_slabs
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 BREAKS = " \n"
@@ -97,34 +100,41 @@ def resynchronised(tok, text: str, size: int, overlap: int, breaks: str = BREAKS
 
 
 @lru_cache(1)
-def _units(path: str) -> UnitCache:
+def _units(path: str) -> PackedUnits:
     """Of a Python worker, for all its tasks: how many tokens a unit has."""
     tok = tokenizer(path)
 
-    def encode(units: list[bytes], _: list[bool]) -> list[int]:
-        return [len(x) for x in tok.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+    def encode(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = [len(x) for i in range(0, len(units), AT_ONCE) for x in tok.encode_batch_fast(units[i : i + AT_ONCE], add_special_tokens=False)]
+        return np.array(n, np.uint32), np.ones(len(n), np.int64)
 
-    return UnitCache(encode)
+    return PackedUnits(encode, np.uint32)
+
+
+def _counts(tok, column: pa.Array, cache: PackedUnits) -> np.ndarray:
+    """Tokens of each text, by its units."""
+    n = np.zeros(len(column), np.int64)
+    for slab in unit_slabs(column, ascii_set(BREAKS), cut_marks=True):
+        counts, _, _, which = cache.of(slab)
+        sums = np.concatenate([[0], np.cumsum(counts[which], dtype=np.int64)])
+        n[slab.first : slab.first + slab.n_rows] = np.diff(sums[slab.lo])
+        special = np.flatnonzero((slab.data[:-1] == ord("<")) & (slab.data[1:] == ord("|")))
+        for r in set((np.searchsorted(slab.offsets, special, side="right") - 1).tolist()):
+            n[slab.first + r] = len(tok.encode(slab.row(r).decode(), add_special_tokens=False))
+    return n
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, chunk_chars: int = 4_000, overlap: int = 200) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit; path: a tokenizers .json file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, cache, sep = tokenizer(path), _units(path), ascii_set(BREAKS)
+        tok, cache = tokenizer(path), _units(path)
         for batch in batches:
-            ids = batch.column("doc_id")
-            for slab in unit_slabs(batch.column("text"), sep):
-                n_bytes = np.diff(slab.offsets)
-                if slab.n_rows == 1 and n_bytes[0] > chunk_chars and len(text := slab.row(0).decode()) > chunk_chars:
-                    n = np.array([len(resynchronised(tok, text, chunk_chars, overlap))])
-                else:
-                    counts, which = cache.of(slab)
-                    sums = np.concatenate([[0], np.cumsum(np.array(counts, np.int64)[which])]) if len(which) else np.zeros(1, np.int64)
-                    n = sums[slab.lo[1:]] - sums[slab.lo[:-1]]
-                    for r in np.flatnonzero(n_bytes > chunk_chars):
-                        if len(text := slab.row(r).decode()) > chunk_chars:
-                            n[r] = len(resynchronised(tok, text, chunk_chars, overlap))
-                yield pa.RecordBatch.from_arrays([ids[slab.first : slab.first + slab.n_rows], pa.array(n_bytes.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = batch.column("text")
+            long = pc.greater(pc.utf8_length(texts), chunk_chars)
+            n = _counts(tok, pc.if_else(long, pa.scalar("", texts.type), texts), cache)
+            for r in np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist():
+                n[r] = len(resynchronised(tok, texts[r].as_py(), chunk_chars, overlap))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")).mapInArrow(run, SCHEMA)

@@ -38,11 +38,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import as_text, saved
 from palimpsest.llm.textkernel import gram_hash, mix
 from palimpsest.llm.token_count import tokenizer
-from palimpsest.llm.units import PackedUnits, ascii_set, spans, unit_slabs
+from palimpsest.llm.units import AT_ONCE, PackedUnits, ascii_set, spans, unit_slabs
 
 ROLL, LEAST, MOST, BITS = 8, 64, 4096, 9
 DIGEST = 16
-AT_ONCE = 2_000  # units the library encodes in one call, whose results are held as objects
 SPOOL = "row long, doc_id long, n_tokens long, digests binary, root binary, chunks array<struct<digest:binary,pack:string,at:long,size:int>>"
 #: White space beyond ASCII, and controls on which tools differ: texts with these are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"

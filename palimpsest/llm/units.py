@@ -15,6 +15,7 @@ import pyarrow as pa
 
 from palimpsest.llm.textkernel import SLAB_BYTES, span_hash, string_buffers
 
+AT_ONCE = 2_000  # units that a library encodes in one call, whose results are held as objects
 FIRST = np.uint64(0xA5A5A5A5DEADBEEF)
 
 

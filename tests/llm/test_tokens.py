@@ -46,6 +46,26 @@ def test_resynchronisation(size, overlap):
         assert token_count.resynchronised(tok, text, size, overlap) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_chunks_only(spark, monkeypatch):
+    """The words of a text that is encoded in chunks are not encoded as units as well, nor a word anew for a mark after it."""
+
+    class Frame:  # hands over what would run in the workers
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    path, sent = P.path("word_bpe_49k.json"), []
+    tok, cache = token_count.tokenizer(path), token_count._units.__wrapped__(path)
+    real = cache.encode
+    cache.encode = lambda units: sent.extend(units) or real(units)
+    monkeypatch.setattr(token_count, "_units", lambda _: cache)
+    texts = ["menú one, menú. (menú! menú'll menú", "only here " * 600, "", "x<|endoftext|>y z<|startoftext|>", "é" * 3_999 + " <|", " ÿ" * 2_000, " ÿ" * 2_001, "e\u0301, ×; ×é×. 12, K\u0331!<\u0338"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [x for out in token_count.count_tokens(Frame(), path)(iter([batch])) for x in out.to_pylist()]
+    want = [(i, len(t.encode()), len(tok.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    assert got == [{"doc_id": i, "n_bytes": b, "n_tokens": n, "over_limit": n > 2048} for i, b, n in want]
+    assert not any("here" in u for u in sent) and sum("menú" in u for u in sent) == 3  # with and without a space, and after a bracket
+
+
 def test_pieces_equal_library(docs):
     path = P.path("piece_bpe_32k.model")
     sp = pieces.pieces(path).library

@@ -70,6 +70,12 @@ def test_html_filing():
     assert out["item7"] == "Sales went up by a fifth"
 
 
+def test_named_characters_need_their_semicolon():
+    """As in the SQL and the original's parser, so a reference that was cut short stays as it is."""
+    page = "<title>les&amp;&amp</title><p>&lt;b&gt; &amp;lt; &ampx; &copy 1 &copy; &nosuch; AT&T &#38; &</p><div style='display: none'>gone &amp</div>"
+    assert ft.html_text(page) == "les&&amp\n<b> &lt; &ampx; &copy 1 © &nosuch; AT&T & &"
+
+
 def test_headings_and_sections():
     assert [h[1] for h in ft.headings(["Item 1 Business", "Items 7 and 7A. Both", "Part II, Item 7.", "Item 1A | Risk Factors", "see Item 7", "Item 7" + "x" * 200])] == ["1", "7", "7", "1a"]
     lines = ["Item 7. Management's view", "Item 8.", "Item 7 of this report describes more", "Item 7. Management's view", "long " * 60 + "text here", "Item 7. Management's view", "more words still", "Item 8. End"]

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.edit import similarity as similarity_of
 from palimpsest.operators import filings, market, portfolio, semantic, similarity
 from palimpsest.operators import performance as perf
 from palimpsest.plans import research
@@ -238,3 +239,32 @@ def test_download_is_idempotent(spark):
     assert readers.to_download(index, index).count() == 0
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_texts_equal_brute_force(spark):
+    """Sections that one side lacks, empty and null texts; words are counted where the two texts
+    meet, so no row a term is made."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{'abcdefghij'[k]}" for k in rng.integers(10, size=rng.integers(1, 30)))
+    texts = {(f"a{i}", s): (None if i == 3 else "" if i == 4 else "12 ?" if i == 5 else text()) for i in range(30) for s in ("full", "item1a", "item7") if s == "full" or i % 3}
+    pairs = spark.createDataFrame([(f"a{i}", f"a{i - 1}") for i in range(1, 30)], "accession string, prev_accession string")
+    frame = spark.createDataFrame([(*k, t) for k, t in texts.items()], "accession string, section string, text string")
+    words = {k: (t or "").split() if t != "12 ?" else [] for k, t in texts.items()}
+    bags, edits = {}, {}
+    for i in range(1, 30):
+        for s in ("full", "item1a", "item7"):
+            a, b = words.get((f"a{i}", s), []), words.get((f"a{i - 1}", s), [])
+            if a or b:
+                count = lambda x, t: x.count(t)
+                every = {*a, *b}
+                dot, aa, bb = (sum(count(x, t) * count(y, t) for t in every) for x, y in ((a, b), (a, a), (b, b)))
+                bags[f"a{i}", s] = (dot / (aa**0.5 * bb**0.5), len({*a} & {*b}) / len(every), len(a), len(b)) if a and b else (None, None, len(a), len(b))
+            if {(f"a{i}", s), (f"a{i - 1}", s)} <= set(texts):
+                edits[f"a{i}", s] = similarity_of(a, b)
+    got = similarity.cosine_jaccard(pairs, frame)
+    rows = {(r.accession, r.section): (r.cosine, r.jaccard, r.words, r.prev_words) for r in got.collect()}
+    assert set(rows) == set(bags) and all(rows[k] == (pytest.approx(v) if v[0] is not None else v) for k, v in bags.items())
+    assert {(r.accession, r.section): r.edit for r in similarity.edit(pairs, frame).collect()} == pytest.approx(edits)
+    assert "regexp_extract_all" not in _plan(got) and "Aggregate" not in _plan(got)

@@ -16,6 +16,7 @@ from palimpsest.operators import filings, market, portfolio, semantic, similarit
 from palimpsest.operators import performance as perf
 from palimpsest.plans import research
 from palimpsest.sources import readers
+from palimpsest.sources.views import Views
 
 MONTHS = [d.date() for d in pd.date_range("2020-01-31", periods=36, freq="ME")]
 SIGNAL = "ticker string, filing_date date, value double, accession string, signal string"
@@ -268,3 +269,8 @@ def test_pairs_of_texts_equal_brute_force(spark):
     assert set(rows) == set(bags) and all(rows[k] == (pytest.approx(v) if v[0] is not None else v) for k, v in bags.items())
     assert {(r.accession, r.section): r.edit for r in similarity.edit(pairs, frame).collect()} == pytest.approx(edits)
     assert "regexp_extract_all" not in _plan(got) and "Aggregate" not in _plan(got)
+
+
+def test_no_text_moves_for_the_gates(spark, sf):
+    """Words are counted where documents are read."""
+    assert "Exchange" not in _plan(filings.quality_gates(Views(spark, sf).parsed()))

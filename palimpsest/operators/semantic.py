@@ -21,19 +21,23 @@ NOVEL_BELOW, TOP_CHANGES, PASSAGE_CHARS = 0.60, 3, 700
 DIMENSIONS = 64
 
 
-def split_passages(texts: DataFrame) -> DataFrame:
-    """PASSAGES rows of texts (accession, section, text)."""
+#: Characters of text whose passages are in memory at a time.
+SLICE = 1 << 21
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in sized_slices(batch.column("text")):
-                found = [passages(t or "") for t in texts]
-                of = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found]))
-                each = [p for f in found for p in f]
-                cols = [batch.column("accession").take(of), batch.column("section").take(of), pa.array([i for f in found for i in range(len(f))], pa.int32()), pa.array([p.count(" ") + 1 for p in each], pa.int32()), pa.array(each, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["accession", "section", "passage_no", "words", "passage"])
 
-    return texts.select("accession", "section", "text").mapInArrow(run, PASSAGES)
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, texts in sized_slices(batch.column("text"), SLICE):
+            found = [passages(t or "") for t in texts]
+            of = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(f) for f in found]))
+            each = [p for f in found for p in f]
+            cols = [batch.column("accession").take(of), batch.column("section").take(of), pa.array([i for f in found for i in range(len(f))], pa.int32()), pa.array([p.count(" ") + 1 for p in each], pa.int32()), pa.array(each, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["accession", "section", "passage_no", "words", "passage"])
+
+
+def split_passages(texts: DataFrame) -> DataFrame:
+    """PASSAGES rows of texts (accession, section, text)."""
+    return texts.select("accession", "section", "text").mapInArrow(_split, PASSAGES)
 
 
 def hashed_words(batch: list[str]) -> np.ndarray:
@@ -47,20 +51,28 @@ def hashed_words(batch: list[str]) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def embed(pieces: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_words, size: int = 64) -> DataFrame:
-    """pieces (PASSAGES) with an embedding, encoded `size` at a time; half precision is kept
-    as the reference store does."""
-
+def _encoder(encode: Callable[[list[str]], np.ndarray], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("passage").to_pylist()
-            for a in range(0, len(texts), size):
-                vectors = encode(texts[a : a + size]).astype(np.float16).astype(np.float32)
-                part = batch.slice(a, len(vectors))
+            for a in range(0, len(batch), size):
+                part = batch.slice(a, size)
+                vectors = encode(part.column("passage").to_pylist()).astype(np.float16).astype(np.float32)
                 column = pa.array(list(vectors), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "embedding"])
 
-    return pieces.select("accession", "section", "passage_no", "words", "passage").mapInArrow(run, PASSAGES + ", embedding array<float>")
+    return run
+
+
+def embed(pieces: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_words, size: int = 64) -> DataFrame:
+    """pieces (PASSAGES) with an embedding, encoded `size` at a time; half precision is kept
+    as the reference store does."""
+    return pieces.select("accession", "section", "passage_no", "words", "passage").mapInArrow(_encoder(encode, size), PASSAGES + ", embedding array<float>")
+
+
+def embedded_passages(texts: DataFrame, encode: Callable[[list[str]], np.ndarray] = hashed_words, size: int = 64) -> DataFrame:
+    """embed() of split_passages() in one Python worker a task, where two would stand in a row."""
+    run = _encoder(encode, size)
+    return texts.select("accession", "section", "text").mapInArrow(lambda batches: run(_split(batches)), PASSAGES + ", embedding array<float>")
 
 
 def cached_embeddings(pieces: DataFrame, cache: str, encode: Callable[[list[str]], np.ndarray] = hashed_words) -> DataFrame:
@@ -142,11 +154,12 @@ def semantic_panel(panel: DataFrame, texts: DataFrame, encode: Callable[[list[st
     keys = ["accession", "section"]
     rated = panel.select("cik", "ticker", "accession", "prev_accession", "filing_date", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"{s}_cosine").alias("cosine")) for s in sections])).alias("s"))
     rated = rated.filter("s.cosine is not null").select("cik", "ticker", "accession", "prev_accession", "filing_date", F.col("s.section").alias("section"))
-    pieces = split_passages(texts.filter(F.col("section").isin(*sections)))
-    vectors = cached_embeddings(pieces, cache, encode) if cache else embed(pieces, encode)
+    chosen = texts.filter(F.col("section").isin(*sections))
+    pieces = split_passages(chosen)
+    vectors = cached_embeddings(pieces, cache, encode) if cache else embedded_passages(chosen, encode)
     now = vectors.join(rated.select("accession", "section"), keys, "left_semi")
     before = vectors.withColumnRenamed("accession", "prev_accession").join(rated.select("accession", "prev_accession", "section"), ["prev_accession", "section"])
     best = best_match(now, before, keys)
-    changes = top_changes(best, keys).join(now.select(*keys, "passage_no", "passage"), [*keys, "passage_no"]).join(rated, keys)
+    changes = top_changes(best, keys).join(pieces.select(*keys, "passage_no", "passage"), [*keys, "passage_no"]).join(rated, keys)
     changes = changes.select("cik", "ticker", "accession", "filing_date", "section", "match_score", F.substring("passage", 1, PASSAGE_CHARS).alias("passage"))
     return semantic_scores(best, keys), changes

@@ -274,3 +274,18 @@ def test_pairs_of_texts_equal_brute_force(spark):
 def test_no_text_moves_for_the_gates(spark, sf):
     """Words are counted where documents are read."""
     assert "Exchange" not in _plan(filings.quality_gates(Views(spark, sf).parsed()))
+
+
+def test_passages_are_embedded_in_one_worker(spark):
+    """Cut and encoded in one step, with the rows that the two steps give."""
+    long = "\n".join(" ".join(f"word{i}x{j}" for j in range(50)) for i in range(40))
+    texts = spark.createDataFrame([("a", "item7", long), ("b", "item7", None), ("c", "item1a", "short")], "accession string, section string, text string")
+    got = semantic.embedded_passages(texts, size=5)
+    assert _plan(got).count("MapInArrow") == 1
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) > 5 and rows == sorted(map(tuple, semantic.embed(semantic.split_passages(texts)).collect()))
+    index = [(1, "T", a, date(y + 1, 2, 1), date(y, 12, 31)) for a, y in (("a", 2000), ("d", 2001))]
+    panel = spark.createDataFrame([(*r[:3], "a", r[3], 0.5, 0.5) for r in index[1:]], "cik long, ticker string, accession string, prev_accession string, filing_date date, item1a_cosine double, item7_cosine double")
+    scores, _ = semantic.semantic_panel(panel, texts.union(spark.createDataFrame([("d", "item7", long)], texts.schema)))
+    plan = _plan(scores)
+    assert plan.count("MapInArrow") <= 2 and scores.first().semantic == pytest.approx(1, abs=1e-3)

@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions.dates import formation_month_end
 from palimpsest.functions.edit import similarity as similarity_of
 from palimpsest.operators import filings, market, portfolio, semantic, similarity
 from palimpsest.operators import performance as perf
@@ -240,6 +241,8 @@ def test_download_is_idempotent(spark):
     assert readers.to_download(index, index).count() == 0
 
 
+
+
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -289,3 +292,49 @@ def test_passages_are_embedded_in_one_worker(spark):
     scores, _ = semantic.semantic_panel(panel, texts.union(spark.createDataFrame([("d", "item7", long)], texts.schema)))
     plan = _plan(scores)
     assert plan.count("MapInArrow") <= 2 and scores.first().semantic == pytest.approx(1, abs=1e-3)
+
+
+def test_portfolios_equal_brute_force(spark):
+    """Filings that replace each other, ties, gaps in returns, holds that run out; a name and
+    month is made once, where a ticker's filings and returns have met."""
+    rng = np.random.default_rng(11)
+    dates = MONTHS[:18]
+    ret = {(i, f"T{j}"): float(rng.normal(0, 0.1)) for i in range(18) for j in range(12) if rng.random() < 0.9}
+    returns = spark.createDataFrame([(dates[i], t, r) for (i, t), r in ret.items()], "date date, ticker string, ret double")
+    filed = [(f"T{rng.integers(13)}", date(2020, int(rng.integers(1, 13)), int(rng.integers(1, 28))), float(rng.integers(5)), f"a{k:02d}") for k in range(60)]  # T12 has no return
+    signals = spark.createDataFrame([(*f, "sig") for f in filed], SIGNAL)
+    formed = {r.filing_date: r.f for r in signals.select("filing_date", formation_month_end(F.col("filing_date")).alias("f")).distinct().collect()}
+    live: dict = {}
+    for t, day, value, name in filed:
+        start = sum(d < formed[day] for d in dates)
+        for pos in range(start, min(start + 3, 18)):
+            if t != "T12":
+                live.setdefault((pos, t), []).append((day, name, value))
+    live = {k: max(v)[2] for k, v in live.items()}
+    got = portfolio.live_signal(signals, returns, 3)
+    assert {(r.pos, r.ticker): r.value for r in got.collect()} == live and "Aggregate" not in _plan(got).split("Generate")[0]
+    with_ret = {(r.pos, r.ticker): (r.value, r.ret) for r in portfolio.live_with_returns(signals, returns, 3).collect()}
+    assert with_ret == {(pos, t): (v, ret.get((pos + 1, t))) for (pos, t), v in live.items()}
+    want, old = {}, {}
+    for pos in range(17):
+        names = sorted((v, t) for (p, t), v in live.items() if p == pos)
+        n = len(names)
+        if n < 4:
+            old = {}
+            continue
+        of = {q: [t for i, (_, t) in enumerate(names, 1) if -(-i * 5 // n) == q and (pos + 1, t) in ret] for q in range(1, 6)}
+        mean = {q: float(np.mean([ret[pos + 1, t] for t in m])) for q, m in of.items() if m}
+        moved, now = {}, {}
+        for leg, q in (("short", 1), ("long", 5)):
+            w = {t: 1 / len(of[q]) for t in of[q]}
+            before = old.get(leg, {})
+            moved[leg] = sum(abs(w.get(t, 0) - before.get(t, 0)) for t in {*w, *before})
+            grown = {t: x * (1 + ret[pos + 1, t]) for t, x in w.items()}
+            now[leg] = {t: g / sum(grown.values()) for t, g in grown.items()}
+        old = now
+        want[dates[pos + 1]] = (n, *[mean.get(q) for q in range(1, 6)], moved["short"], moved["long"])
+    out = portfolio.run_sort(signals, returns, 3, min_names=4)
+    rows = {r.date: (r.n_names, r.Q1, r.Q2, r.Q3, r.Q4, r.Q5, r.turnover_short, r.turnover_long) for r in out.collect()}
+    assert set(rows) == set(want) and len(want) > 8
+    for d, r in rows.items():
+        assert r == pytest.approx(want[d]) if None not in r else [x is None for x in r] == [x is None for x in want[d]]

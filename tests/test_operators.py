@@ -279,6 +279,12 @@ def test_no_text_moves_for_the_gates(spark, sf):
     assert "Exchange" not in _plan(filings.quality_gates(Views(spark, sf).parsed()))
 
 
+def test_lines_are_dealt_once_for_returns(spark, sf):
+    """Daily closes, month ends and returns of a ticker are made in one place."""
+    v = Views(spark, sf)
+    assert _plan(market.monthly_returns(v.closes(), v.close_dates())).count("Exchange hashpartitioning") == 1
+
+
 def test_passages_are_embedded_in_one_worker(spark):
     """Cut and encoded in one step, with the rows that the two steps give."""
     long = "\n".join(" ".join(f"word{i}x{j}" for j in range(50)) for i in range(40))

@@ -281,6 +281,7 @@ def test_no_text_moves_for_the_gates(spark, sf):
 
 def test_lines_are_dealt_once_for_returns(spark, sf):
     """Daily closes, month ends and returns of a ticker are made in one place."""
+    spark.catalog.clearCache()  # else the plan shows what other tests have kept
     v = Views(spark, sf)
     assert _plan(market.monthly_returns(v.closes(), v.close_dates())).count("Exchange hashpartitioning") == 1
 
